@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from .decontam import OP2_SQL, op2_decontamination
+from .packing import op7_best_fit_packing
 from .simhash import op1_simhash
+from .wavelet import op4_wavelet_tokens
 
-QUERIES = {"op1_simhash": op1_simhash}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_decontamination": op2_decontamination,
+    "op4_wavelet_tokens": op4_wavelet_tokens,
+    "op7_best_fit_packing": op7_best_fit_packing,
+}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
