@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import OP2_SQL, op2_decontamination
 from .packing import op7_best_fit_packing
+from .pii import op6_pii
 from .simhash import op1_simhash
 from .wavelet import op4_wavelet_tokens
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
     "op4_wavelet_tokens": op4_wavelet_tokens,
+    "op6_pii": op6_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
