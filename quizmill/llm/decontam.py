@@ -27,9 +27,13 @@ def words(text):
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), GAP), "")
 
 
+def _mark(doc_id, text):
+    return F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"), 256))
+
+
 @dataclass
 class PositionalIndex:
-    """postings(row, doc_id, n_words, pos, term): every row has a posting, if only an empty one at pos 0 or null."""
+    """postings(row, doc_id, n_words, pos, term, mark): every row has a posting, if only an empty one at pos 0 or null."""
 
     postings: DataFrame
     terms: DataFrame
@@ -37,26 +41,30 @@ class PositionalIndex:
 
     @property
     def documents(self) -> DataFrame:
-        return self.postings.where("pos is null or pos = 0").select("row", "doc_id", "n_words")
+        return self.postings.where("pos is null or pos = 0").select("row", "doc_id", "n_words", "mark")
 
     @property
     def lists(self) -> DataFrame:
         return self.postings.where("term is not null").select("row", "pos", "term")
 
 
-def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> PositionalIndex:
-    """Postings of docs for the words of items. Rows of docs are told apart by a key of their own, so ids may repeat or be null."""
+def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", marked: bool = False) -> PositionalIndex:
+    """Postings of docs for the words of items. Rows of docs are told apart by a key of their own, so ids may repeat or be null.
+
+    marked: the first posting of each row has a digest of its id and text.
+    """
     test = items.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(item_text_col)).alias("w"))
     test = test.where(F.size("w") > 0).withColumn("item", F.monotonically_increasing_id())
     test = written(test.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("off", "word")), "items")
     terms = written(test.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
     phrases = written(test.join(terms, "word").select("item", "item_id", "n", "off", "term"), "phrases")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
+    mark = _mark(F.col(id_col), F.col(text_col)) if marked else F.lit(None).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), words(F.col(text_col)).alias("w"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    tokens = rows.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
+    tokens = rows.select("row", "doc_id", "mark", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
     found = tokens.join(with_broadcast_if(terms, BROADCAST_ROWS), "word", "left").where("term is not null or pos is null or pos = 0")
-    return PositionalIndex(written(found.select("row", "doc_id", "n_words", "pos", "term"), "postings"), terms, phrases)
+    return PositionalIndex(written(found.select("row", "doc_id", "n_words", "pos", "term", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("mark")).alias("mark")), "postings"), terms, phrases)
 
 
 def _anchors(index: PositionalIndex, size: int) -> DataFrame:
@@ -134,6 +142,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
+    """The rows of docs in which no window of an item occurs, with all their columns."""
+    index = build_index(docs, items, id_col, text_col, item_col, item_text_col, marked=True)
+    hit = index.documents.join(exact_matches(index, size).select("row").distinct(), "row", "left_semi")
+    hit = written(hit.select(F.col("mark").alias("mark_")).distinct(), "hit")
+    marked = docs.withColumn("mark_", _mark(F.col(id_col), F.col(text_col)))
+    return marked.join(with_broadcast_if(hit, BROADCAST_ROWS), "mark_", "left_anti").select(*docs.columns)
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

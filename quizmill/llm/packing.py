@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import table, written
+from .stage import table, with_broadcast_if, written
 from .tokens import default_path, encoder
 
 
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     plan = slots(best_two_fit({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = cut.join(counts, ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = cut.join(with_broadcast_if(written(counts, "before"), 200_000), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     carried = ["doc_id", "piece", "start", "length", *(["ids"] if with_ids else []), "ids_crc32"]
     width = 1 << 44  # ranks are below this
 

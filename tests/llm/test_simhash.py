@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quizmill.llm.simhash import _moves, near_duplicates, spanning_forest, tile_links
+from quizmill.llm.simhash import _moves, near_duplicates, one_of_each_group, spanning_forest, tile_links
 
 
 def brute_print(text, size=3):
@@ -56,9 +56,9 @@ def test_tile_links_span_the_same_components():
     base = rng.integers(0, 2**63, 40, dtype=np.int64).view(np.uint64)
     flips = np.uint64(1) << rng.integers(0, 64, (40, 10)).astype(np.uint64)
     a = (base[:, None] ^ flips).reshape(-1, 1)
-    u, v, w = tile_links(a, None, 2)
+    u, v, w = tile_links(a, None, (2,))
     assert len(u) == 360 and (w <= 2).all()
-    u, v, _ = tile_links(a[:200], a[200:], 2)
+    u, v, _ = tile_links(a[:200], a[200:], (2,))
     assert len(u) == 0
     assert len(spanning_forest(4, np.array([0, 1, 0, 2]), np.array([1, 2, 2, 3]), np.array([1, 1, 0, 5]))) == 3
 
@@ -69,3 +69,56 @@ def test_moves_cover_each_direction_once(dims, radius):
     assert all(tuple(-x for x in m) not in moves or not any(m) for m in moves)
     full = [(x,) for x in range(-3, 4)] if dims == 1 else [(x, y) for x in range(-3, 4) for y in range(-3, 4) if abs(x) + abs(y) <= radius]
     assert 2 * len(moves) - 1 == len(full)
+
+
+def jaccard_groups(rows, size=5, similarity=0.8):
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+def test_one_of_each_group_on_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == jaccard_groups(rows)
+
+
+def test_one_of_each_group_of_variants_nulls_and_ties(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for group in range(4):
+        base = [word() for _ in range(300)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(12):
+            copy = list(base)
+            for k in rng.sample(range(300), 3):
+                copy[k] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(100, None), (101, ""), (102, " "), (103, "one two"), (104, "ONE two"), (105, "one three"), (106, "x " * 20000)]
+    docs = spark.createDataFrame([(*r, "z", 0) for r in rows], "doc_id long, text string, row string, fp int")
+    assert sorted(r["doc_id"] for r in one_of_each_group(docs).collect()) == jaccard_groups(rows)
+    twice = one_of_each_group(docs.unionByName(docs))
+    assert sorted(r["doc_id"] for r in twice.collect()) == jaccard_groups(rows)
+    assert one_of_each_group(docs.limit(0)).collect() == []
