@@ -126,13 +126,13 @@ def _bootstrap(rows: DataFrame, seen: DataFrame) -> DataFrame | None:
     """(row, added) for rows in which candidates are accepted; None if no pattern has support or none matches a candidate."""
     edge = lambda name, known: seen.where(F.size(name) > 0).select(F.explode(name).alias("s")).select("s.kind", "s.value", F.explode("s.keys").alias("key")).distinct().withColumn("known", F.lit(known))
     seeds = edge("base", True)
-    patterns = written(seeds.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("kind", "key"), "patterns")
+    patterns = seeds.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("kind", "key")
+    # a pattern around no unseen candidate of its kind adds nothing, and no score depends on it
+    patterns = written(patterns.join(edge("more", False).select("kind", "key").distinct(), ["kind", "key"], "left_semi"), "patterns")
     if not patterns.limit(1).count():
         return None
     # every instance that stands in an induced context, whatever its kind
     edges = written(seeds.unionByName(edge("more", False)).withColumnRenamed("kind", "own").join(patterns, "key"), "edges")
-    if not edges.where(~F.col("known")).limit(1).count():
-        return None
     keys = with_broadcast_if(patterns.select("key").distinct(), BROADCAST_ROWS)
     w = rows.select(plain(F.col("text")).alias("w")).select("w", F.posexplode("w").alias("at", "word"))
     at = lambda k: F.coalesce(F.get("w", F.col("at") + k), F.lit(""))
