@@ -2,7 +2,7 @@
 
 1. Anchors: of each string of LENGTH bytes the 32-byte gram of least hash (the last of equal ones) is its anchor, so equal strings
    have equal anchors at the same place. Neighbouring strings share anchors: about one position in 35 is one.
-2. Only anchors that occur again can be in a repeat. They get their context: the bytes of all strings that chose them. Occurrences
+2. Whole copies of an earlier text go at once. Of the rest only anchors that occur again can be in a repeat. They get their context: the bytes of all strings that chose them. Occurrences
    of one gram meet in a shard; of equal contexts all but the first are removed whole.
 3. The different contexts of a gram go into a shard's text. Its suffix array is built by induced sorting, permuted common prefixes
    show which strings of LENGTH bytes are equal, and all but the first of these are removed.
@@ -19,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import table, written
+from .stage import table, with_broadcast_if, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a long text that are hashed at once; bytes of contexts that make a shard's text; different contexts of a gram that one shard takes.
 CHUNK, SHARD, HOT = 1 << 19, 1 << 20, 20_000
+#: So many row numbers may be broadcast (some tens of MB).
+BROADCAST_ROWS, END = 1_000_000, 1 << 62
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TAIL = np.uint64((1 << 20) - 1)
 
@@ -301,8 +303,15 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
 
 
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """The written (row) of rows(row, text) whose whole text stands in an earlier row: nothing of theirs needs a search."""
+    keyed = rows.select("row", F.md5(F.col("text").cast("binary")).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    return written(keyed.join(least, "key").where("row <> least").select("row"), "copies")
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(row, spans): spans array<struct<a, b>>, unmerged, of the bytes to remove; rows without any are left out."""
+    """(row, spans): spans array<struct<a, b>>, unmerged, of the bytes to remove (b may be past the end); rows without any are left out."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,11 +321,13 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             h, first, last = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (1, 2, 3))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(first << 8 | (last - first))], ["row", "gram", "range"])
 
-    every = rows.select("row", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(find, "row long, gram long, range long")
-    every = written(every, "anchors")
+    long = rows.select("row", "text").where(F.octet_length("text") >= LENGTH)
+    copies = whole_copies(long)
+    rest = long.join(with_broadcast_if(copies, BROADCAST_ROWS), "row", "left_anti")
+    every = rest.mapInArrow(find, "row long, gram long, range long")  # hashed twice: cheaper than a table of all anchors
     again = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     ranges = every.join(again, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "range")).alias("held"))
-    around = rows.join(ranges, "row").select("row", "text", "held")
+    around = rows.select("row", "text").join(ranges, "row").select("row", "text", "held")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -352,6 +363,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     least = strings.groupBy("string").agg(F.min(F.struct("row", "a")).alias("least"))
     later = strings.join(least, "string").where(F.struct("row", "a") != F.col("least"))
     both = spans.where("string is null").select("row", "a", "b").unionByName(later.select("row", "a", "b"))
+    both = both.unionByName(copies.select("row", F.lit(0).cast("long").alias("a"), F.lit(END).alias("b")))
     return both.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -372,7 +384,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if not spans.is_valid:
                     made.append((doc, len(data), 0, 0, data))
                     continue
-                a, z = merged(*(spans.values.field(f).to_numpy(zero_copy_only=False) for f in (0, 1)))
+                a, z = merged(*(np.minimum(spans.values.field(f).to_numpy(zero_copy_only=False), len(data)) for f in (0, 1)))
                 edges = [0, *np.column_stack([a, z]).ravel().tolist(), len(data)]
                 kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 made.append((doc, len(data), len(data) - len(kept), len(a), kept))
