@@ -49,9 +49,9 @@ class WaveletMatrix:
             bit = (order >> order.dtype.type(k)) & order.dtype.type(1)
             one = bit.view(np.uint8)[:: order.dtype.itemsize].astype(bool)
             planes.append(np.packbits(one))
-            low = order[~one]
+            low = order.take(np.flatnonzero(~one))  # several times faster than by mask
             zeros.append(len(low))
-            order = np.concatenate([low, order[one]])
+            order = np.concatenate([low, order.take(np.flatnonzero(one))])
         return cls(len(ids), bits, planes, zeros)
 
     def decode(self, dtype: np.dtype) -> np.ndarray:
@@ -60,8 +60,8 @@ class WaveletMatrix:
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             one = np.unpackbits(plane, count=self.n).view(bool)
             above = np.empty(self.n, dtype)
-            above[~one] = order[:zeros]
-            above[one] = order[zeros:] | dtype.type(1 << k)
+            above[np.flatnonzero(~one)] = order[:zeros]
+            above[np.flatnonzero(one)] = order[zeros:] | dtype.type(1 << k)
             order = above
         return order
 
