@@ -4,6 +4,7 @@
    have equal anchors at the same place. Neighbouring strings share anchors: about one position in 35 is one.
 2. Whole copies of an earlier text go at once. Of the rest only anchors that occur again can be in a repeat. They get their context: the bytes of all strings that chose them. Occurrences
    of one gram meet in a shard; of equal contexts all but the first are removed whole.
+   A task sends each different context on once, so a gram in very many documents isn't very many rows.
 3. The different contexts of a gram go into a shard's text. Its suffix array is built by induced sorting, permuted common prefixes
    show which strings of LENGTH bytes are equal, and all but the first of these are removed.
 A gram with more than HOT different contexts would outgrow a shard: its strings are grouped by their bytes in a shuffle instead, with the same result.
@@ -217,6 +218,15 @@ def repeated_strings(contexts: list[bytes], rows: np.ndarray, starts: np.ndarray
     return row[keep], start[keep]
 
 
+def _later_copies(contexts: list[bytes], grams: np.ndarray, digests: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> list[int]:
+    """Places of contexts that equal one at a smaller (row, start): what needn't be sent on, however common it is."""
+    order = np.lexsort((starts, rows, digests, grams))
+    fresh = (np.diff(grams[order], prepend=0) != 0) | (np.diff(digests[order], prepend=0) != 0)
+    fresh[:1] = True
+    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
+    return [k for k, h in zip(order[~fresh].tolist(), head[~fresh].tolist(), strict=True) if contexts[k] == contexts[h]]
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of spans [a, b), as sorted spans apart from each other."""
     if not len(a):
@@ -334,7 +344,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             texts = b.column(1).cast(pa.large_binary())
             counts = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
             held = b.column(2).flatten()
-            grams, ranges = (held.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            grams, ranges = (held.field(k).to_numpy(zero_copy_only=False).copy() for k in (0, 1))
             first, size = ranges >> 8, (ranges & 255) + LENGTH
             contexts, at = [], 0
             for k, n in enumerate(counts.tolist()):
@@ -343,13 +353,19 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                 at += n
             digests = np.array([xxhash.xxh64_intdigest(c) for c in contexts], np.uint64).view(np.int64)
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts)
+            for k in _later_copies(contexts, grams, digests, ids, first):
+                # its strings are in the batch's first such context: a span to remove, dealt by row, with its length for a digest
+                grams[k], digests[k], contexts[k] = ids[k], size[k], None
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(digests), pa.array(ids), pa.array(first), pa.array(contexts, pa.binary())], ["gram", "digest", "row", "start", "context"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = ShardFinder()
         for b in batches:
-            for item in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3)), strict=True):
-                finder.add(item[0], item[1], item[2], item[3])
+            for gram, context, row, start, digest in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if context is None:
+                    finder.out.append((row, start, start + digest, None))
+                else:
+                    finder.add(gram, context, row, start)
             if len(finder.out) > 10_000:
                 yield finder.drain()
         finder.end_gram()
@@ -358,7 +374,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
     contexts = around.mapInArrow(cut, "gram long, digest long, row long, start long, context binary")
     shards = contexts.repartition("gram").sortWithinPartitions("gram", "digest", "context", "row", "start")
-    spans = written(shards.select("gram", "context", "row", "start").mapInArrow(search, "row long, a long, b long, string binary"), "spans")
+    spans = written(shards.select("gram", "context", "row", "start", "digest").mapInArrow(search, "row long, a long, b long, string binary"), "spans")
     strings = spans.where("string is not null")
     least = strings.groupBy("string").agg(F.min(F.struct("row", "a")).alias("least"))
     later = strings.join(least, "string").where(F.struct("row", "a") != F.col("least"))
