@@ -49,12 +49,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written after the first `since`, but for the one that keep reads."""
+    kept = set(keep.inputFiles()) if keep is not None else set()
+    for at in range(len(_WRITTEN) - 1, since - 1, -1):
+        owner, path = _WRITTEN[at]
+        if owner is spark and not any(path.rpartition("/")[2] in f for f in kept):
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            del _WRITTEN[at]
+
+
+def tables_written() -> int:
+    return len(_WRITTEN)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for spark in {id(s): s for s, _ in _WRITTEN}.values():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            discard(spark)
         except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans it
             return
