@@ -119,7 +119,7 @@ def first_words(text: Column, config: Config = DEFAULT) -> Column:
 
 
 def topic_instruction(slugs: Column) -> Column:
-    return F.concat(F.lit("topic_tag must be exactly one of: "), F.array_join(slugs, ", "))
+    return F.concat(F.lit("topic_tag must be exactly one of (output verbatim, no other value): "), F.array_join(slugs, ", "))  # fixed value
 
 
 def prompt(text: Column, slugs: Column, level: Column, n: Column, style: Column, config: Config = DEFAULT) -> Column:
@@ -144,6 +144,17 @@ def options_by_label(labels: Column, texts: Column) -> Column:
     return F.aggregate(pairs, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.map_from_arrays(F.array(p["k"]), F.array(p["v"]))))
 
 
+def screen_word_count(text: Column) -> Column:
+    """Words for display: texts of over 400 000 characters are estimated at five characters a word, halves up."""
+    n = F.length(text)
+    return F.when(n > 400_000, F.greatest(F.lit(1), F.floor(n / 5 + 0.5))).otherwise(word_count(text)).cast("long")
+
+
+def screen_text(text: Column) -> Column:
+    """The text for display, none if it has over 60 000 characters."""
+    return F.when(F.length(text) <= 60_000, text)
+
+
 def content_key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 

@@ -50,12 +50,17 @@ def progress(done: Column, total: Column, target: Column) -> Column:
     return F.when(d.isNotNull(), F.bround(F.coalesce(done, F.lit(0)) / d, 2))
 
 
-def message(status: Column, done: Column, total: Column, target: Column, age: Column, timeout: Column) -> Column:
-    d = F.coalesce(denominator(total, target), F.lit(0)).cast("string")
-    p = F.coalesce(done, F.lit(0)).cast("string")
-    busy = F.concat(F.lit("Generating… usually under 1 minute. "), p, F.lit(" of "), d)
-    slow = F.when(age > timeout / 2, " (taking longer than usual)").otherwise("")
-    return F.when(status.isin(RUNNING), F.concat(busy, slow)).otherwise(F.concat(p, F.lit(" of "), d, F.lit(" questions created")))
+def list_message(done: Column, total: Column, target: Column) -> Column:
+    """For lists; null without a denominator."""
+    return F.concat(F.coalesce(done, F.lit(0)).cast("string"), F.lit(" of "), denominator(total, target).cast("string"), F.lit(" questions created"))
+
+
+def status_message(status: Column, done: Column, total: Column, target: Column, age: Column, timeout: Column) -> Column:
+    """For one test; the status itself without a denominator."""
+    counted = list_message(done, total, target)
+    slow = F.when(age > timeout / 2, " (this may take a while for large documents)").otherwise("")  # fixed values
+    busy = F.concat(F.lit("Generating... usually under 1 minute. "), counted, slow)
+    return F.coalesce(F.when(status.isin(RUNNING), busy).otherwise(counted), status)
 
 
 def ticked(done: Column, total: Column, ticks: Column) -> Column:

@@ -167,21 +167,48 @@ def _jobs(spark, sf) -> DataFrame:
 
 @query(
     f"""WITH {JOBS_SQL}, d AS (SELECT *, coalesce(nullif(total, 0), nullif(target, 0)) AS d FROM jobs)
-    SELECT o_orderkey, CAST(round_even(done / CAST(d AS DOUBLE), 2) AS DOUBLE) AS progress,
-      CASE WHEN status = 'generating' THEN 'Generating… usually under 1 minute. ' || done || ' of ' || coalesce(d, 0) || CASE WHEN age > 600 THEN ' (taking longer than usual)' ELSE '' END ELSE done || ' of ' || coalesce(d, 0) || ' questions created' END AS message,
+    SELECT o_orderkey, coalesce(CAST(round_even(done / CAST(d AS DOUBLE), 2) AS DOUBLE), 0.0) AS progress,
+      CASE WHEN d IS NULL THEN status WHEN status = 'generating' THEN 'Generating... usually under 1 minute. ' || done || ' of ' || d || ' questions created' || CASE WHEN age > 600 THEN ' (this may take a while for large documents)' ELSE '' END ELSE done || ' of ' || d || ' questions created' END AS message,
       CASE WHEN total <= 1 THEN 0 ELSE least(done + 3, total - 1) END AS ticked FROM d"""
 )
 def progress_status(spark, sf):
-    """P7, P8, L1"""
+    """P8, L1"""
     done, total, target = F.col("done"), F.col("total"), F.col("target")
     return _jobs(spark, sf).select(
         "o_orderkey",
-        lifecycle.progress(done, total, target).alias("progress"),
-        lifecycle.message(F.col("status"), done, total, target, F.col("age"), F.lit(DEFAULT.stale_after_s)).alias("message"),
+        F.coalesce(lifecycle.progress(done, total, target), F.lit(0.0)).alias("progress"),
+        lifecycle.status_message(F.col("status"), done, total, target, F.col("age"), F.lit(DEFAULT.stale_after_s)).alias("message"),
         lifecycle.ticked(done, total, F.lit(3)).cast("long").alias("ticked"),
     )
 
 
+@query(
+    f"""WITH {JOBS_SQL}, d AS (SELECT *, coalesce(nullif(total, 0), nullif(target, 0)) AS d FROM jobs)
+    SELECT o_orderkey, d AS total_mcq, CAST(round_even(done / CAST(d AS DOUBLE), 2) AS DOUBLE) AS progress, done || ' of ' || d || ' questions created' AS message, status = 'generating' AND age > 1200 AS stale FROM d"""
+)
+def test_list(spark, sf):
+    """P7, P9"""
+    done, total, target = F.col("done"), F.col("total"), F.col("target")
+    now = F.lit(NOW).cast("timestamp")
+    updated = F.timestamp_seconds(F.unix_timestamp(now) - F.col("age"))
+    return _jobs(spark, sf).select(
+        "o_orderkey",
+        lifecycle.denominator(total, target).alias("total_mcq"),
+        lifecycle.progress(done, total, target).alias("progress"),
+        lifecycle.list_message(done, total, target).alias("message"),
+        lifecycle.stale(F.col("status"), updated, updated, now, F.lit(None).cast("int")).alias("stale"),
+    )
+
+
+@query("SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_custkey % 10 = 1")
+def owned_rows(spark, sf):
+    """J2, J4"""
+    users = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    tests = table(spark, sf, "orders").where("o_custkey % 10 = 1").join(users, "o_custkey", "left_semi").select("o_orderkey")
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    return tests.join(rows, "o_orderkey").select("o_orderkey", "l_linenumber", "l_partkey")
+
+
 @query(
     f"""WITH {JOBS_SQL}, s AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor(100 * least(1.0, done / CAST(total AS DOUBLE)) + 0.5) AS BIGINT) ELSE 0 END AS share FROM jobs)
     SELECT o_orderkey, CASE status WHEN 'completed' THEN 100 WHEN 'partial' THEN share ELSE least(95, share) END AS percent FROM s"""

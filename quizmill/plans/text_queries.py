@@ -52,6 +52,14 @@ def extract_stats(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("character_count"), text.word_count(F.col("text")).alias("word_count"))
 
 
+@query(
+    f"""SELECT doc_id, source, CAST(ceil(n_chars / 1800.0) AS BIGINT) AS total_pages, CASE WHEN length(text) <= 60000 THEN text END AS shown, CASE WHEN length(text) > 400000 THEN greatest(1, CAST(floor(length(text) / 5.0 + 0.5) AS BIGINT)) ELSE CAST({WORDS('text')} AS BIGINT) END AS words FROM documents"""
+)
+def document_page(spark, sf):
+    """P1, P18, P19"""
+    return table(spark, sf, "documents").select("doc_id", "source", pages_of(F.col("n_chars")).cast("long").alias("total_pages"), text.screen_text(F.col("text")).alias("shown"), text.screen_word_count(F.col("text")).alias("words"))
+
+
 @query(
     f"""WITH {LINES_CTE}, s AS (SELECT *, CASE WHEN ceil(n_chars / 1800.0) > 10 THEN 'rejected' WHEN length(clean) < 500 THEN 'extraction_failed' ELSE 'ready' END AS status FROM cleaned)
     SELECT doc_id, status, CASE WHEN status = 'rejected' THEN 'rejected' WHEN status <> 'ready' THEN 'not ready' WHEN clean = '' THEN 'no text' WHEN {WORDS('clean')} < 500 THEN 'too few words' END AS reason FROM s"""
@@ -360,9 +368,21 @@ def truncations(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.inline(F.array(both)), text.short_error(F.col("text")).alias("error"))
 
 
+@query()
+def embedded_retrieval(spark, sf):
+    """M1, O2: chunks by the mock's embeddings, against the topic query's"""
+    from ..providers import MockProvider, embedded
+
+    goal = MockProvider().embed(["UPSC questions on polity: history, polity, economy concepts"])[0].tolist()
+    parts = embedded(_fixed(spark, sf), "text")
+    near = vectors.cosine_to(parts.select("doc_id", "chunk_ix", "embedding"), "embedding", goal)
+    best = retrieval.top_by(near, ["doc_id"], F.col("similarity"), "chunk_ix", 5)
+    return best.select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.col("place").cast("long").alias("place"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     f"""SELECT doc_id, 'UPSC questions on ' || CASE WHEN doc_id % 3 = 0 THEN 'general studies' WHEN doc_id % 3 = 1 THEN 'polity' ELSE 'polity, history' END || ': history, polity, economy concepts' AS goal,
-    CASE WHEN doc_id % 2 = 0 THEN 'Style:' || chr(10) || 'terse' || chr(10) || chr(10) ELSE '' END || 'topic_tag must be exactly one of: {', '.join(SLUGS)}' || chr(10) || 'Difficulty: medium' || chr(10) || 'Questions: ' || greatest(1, least(25, doc_id % 40)) || chr(10) || chr(10) || substring(text, 1, 120000) AS prompt FROM documents"""
+    CASE WHEN doc_id % 2 = 0 THEN 'Style:' || chr(10) || 'terse' || chr(10) || chr(10) ELSE '' END || 'topic_tag must be exactly one of (output verbatim, no other value): {', '.join(SLUGS)}' || chr(10) || 'Difficulty: medium' || chr(10) || 'Questions: ' || greatest(1, least(25, doc_id % 40)) || chr(10) || chr(10) || substring(text, 1, 120000) AS prompt FROM documents"""
 )
 def prompt_render(spark, sf):
     """T10, T20, T22"""

@@ -49,7 +49,8 @@ def extraction(text: Column, pages: Column, found: Column, error: Column, config
     """The result of an extraction: text, is_valid, error_message, page_count, used_ocr_pages, failed_pages."""
     cleaned = clean(text, config)
     short = F.length(cleaned) < config.min_extraction_chars
-    fault = F.when(~found, "File not found").when(pages.isNull(), "Could not read PDF").when(error.isNotNull(), F.concat(F.lit("Document AI failed: "), error)).when(short, "Extracted text too short")
+    # fixed values
+    fault = F.when(~found, "PDF file not found.").when(pages.isNull(), "PDF could not be read").when(error.isNotNull(), F.concat(F.lit("Document AI extraction failed: "), error)).when(short, "Extracted text too short or empty")
     none = F.array().cast("array<int>")
     return F.struct(
         F.when(fault.isNull(), cleaned).otherwise("").alias("text"),

@@ -159,7 +159,7 @@ def test_extraction_results(spark):
 
     good = run("This is extracted text from Document AI. " * 20, 2)
     assert good["is_valid"] and good["page_count"] == 2 and len(good["text"]) == 819
-    assert run("Too short", 1)["error_message"] == "Extracted text too short"
+    assert run("Too short", 1)["error_message"] == "Extracted text too short or empty"
     assert "Document AI" in run("x", 1, error="boom")["error_message"]
     missing = run(None, None, found=False)
     assert "not found" in missing["error_message"] and missing["page_count"] == 0
@@ -228,3 +228,25 @@ def test_schemas(spark):
     new = spark.createDataFrame([(2, "x")], "id int, added string")
     assert sorted(map(tuple, schemas.evolved(old, new).collect()), key=str) == [(1, None), (2, "x")]
     assert config.DEFAULT.chunk_size == 1500
+
+
+@pytest.mark.parametrize(
+    "status,done,total,target,age,message",
+    [
+        ("generating", 2, 5, 5, 10, "Generating... usually under 1 minute. 2 of 5 questions created"),
+        ("pending", None, 0, 5, 700, "Generating... usually under 1 minute. 0 of 5 questions created (this may take a while for large documents)"),
+        ("completed", 5, 5, 5, 9999, "5 of 5 questions created"),
+        ("failed", 0, 0, 0, 1, "failed"),
+    ],
+)
+def test_status_messages(spark, status, done, total, target, age, message):
+    got = values(spark, lifecycle.status_message(F.lit(status), F.lit(done).cast("int"), F.lit(total), F.lit(target), F.lit(age), F.lit(1200)))
+    assert got == message
+
+
+def test_screen_text(spark):
+    from quizmill.functions import text
+
+    assert values(spark, text.screen_word_count(F.lit("a b  c"))) == 3
+    assert values(spark, text.screen_word_count(F.repeat(F.lit("x"), F.lit(400_003)))) == 80_001
+    assert values(spark, text.screen_text(F.repeat(F.lit("x"), F.lit(60_001)))) is None
