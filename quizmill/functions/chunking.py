@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from .text import let, sentences, strip
+from .text import let, sentences, strip, unnested
 
 
 def fixed(text: Column, size: int, overlap: int) -> Column:
@@ -96,5 +96,5 @@ def chunks(text: Column, config: Config = DEFAULT, mode: str | None = None) -> C
 
 def exploded(docs: DataFrame, chunks_col: Column, *keep: str) -> DataFrame:
     """(kept columns, n_chunks, chunk_ix, text): long documents become many small rows before anything is shuffled."""
-    rows = docs.select(*keep, chunks_col.alias("chunks_"))
-    return rows.select(*keep, F.size("chunks_").cast("long").alias("n_chunks"), F.posexplode("chunks_").alias("chunk_ix", "text"))
+    rows = let(chunks_col, lambda c: F.transform(c, lambda x, i: F.struct(F.size(c).cast("long").alias("n_chunks"), i.alias("chunk_ix"), x.alias("text"))))
+    return unnested(docs, rows, "chunk_ix", *keep)

@@ -37,7 +37,7 @@ def mcqs(rows: DataFrame, raw_col: str, topics: list[str], *keep: str) -> DataFr
     Options that aren't an object are blank A to D; missing ones are blank, others stay. No answer is A, an unknown difficulty medium, an unknown topic the
     first one. Numbers are read as their text.
     """
-    each = rows.select(*keep, F.posexplode(items(F.col(raw_col), "mcqs")).alias("at", "v")).where(_is_object(F.col("v")))
+    each = rows.select(*keep, F.posexplode_outer(items(F.col(raw_col), "mcqs")).alias("at", "v")).where(_is_object(F.col("v")))
     v = F.col("v")
     given = F.coalesce(F.try_variant_get(v, "$.options", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
     blank = F.create_map(*[x for k in OPTION_LABELS for x in (F.lit(k), F.lit(""))])
@@ -76,7 +76,7 @@ def vision_mcqs(rows: DataFrame, raw_col: str, level: Column, topics: list[str],
 
     A question needs 4 or 5 options labelled A to E; an answer that isn't one of them is the first label; the difficulty is the one asked for.
     """
-    each = rows.select(*keep, level.alias("level_"), F.posexplode(items(F.col(raw_col), "questions")).alias("at", "v")).where(_is_object(F.col("v")))
+    each = rows.select(*keep, level.alias("level_"), F.posexplode_outer(items(F.col(raw_col), "questions")).alias("at", "v")).where(_is_object(F.col("v")))
     v = F.col("v")
     listed = F.coalesce(F.try_variant_get(v, "$.options", "array<variant>"), F.expr("cast(array() as array<variant>)"))
     pairs = F.transform(listed, lambda o: F.struct(F.upper(strip(_text(o, "$.label"))).alias("label"), strip(_text(o, "$.text")).alias("text")))

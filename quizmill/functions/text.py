@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ANSWER_LABELS, DEFAULT, FAULTY_CRITIQUES, Config
@@ -19,6 +19,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
+def unnested(rows: DataFrame, structs: Column, given: str, *keep: str) -> DataFrame:
+    """A row for each struct of an array expression, with the kept columns; `given` is a field that is never null.
+
+    The outer generator with a filter on its output: from a plain one Catalyst infers a filter that computes the array a second time.
+    """
+    return rows.select(*keep, F.inline_outer(structs)).where(F.col(given).isNotNull())
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TOPICS, Config
 from ..functions.chunking import chunks, exploded
-from ..functions.text import clean, final_score
+from ..functions.text import clean, final_score, unnested
 from ..operators.lifecycle import extraction_status, ineligible
 from ..operators.retrieval import contexts, limit, spread_sample
 from ..operators.selection import select, with_topics
@@ -25,7 +25,7 @@ def eligible(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     # a generator, so that the filter doesn't make Catalyst clean each text again
     status = lambda t: extraction_status(t, pages_of(F.col("n_chars")), config)
     checked = F.transform(F.array(clean(F.col("text"), config)), lambda t: F.struct(t.alias("text"), ineligible(status(t), t, config).isNull().alias("fine")))
-    return docs.select("doc_id", F.inline(F.filter(checked, lambda c: c["fine"]))).select("doc_id", "text")
+    return unnested(docs, F.filter(checked, lambda c: c["fine"]), "fine", "doc_id").select("doc_id", "text")
 
 
 def generated(spark: SparkSession, folder: str, target: int = 5, config: Config = DEFAULT) -> DataFrame:

@@ -68,7 +68,7 @@ def eligibility(spark, sf):
     """P3, S4"""
     status = lambda t: lifecycle.extraction_status(t, pages_of(F.col("n_chars")), PAGED)
     both = text.let(text.clean(F.col("text")), lambda t: F.struct(status(t).alias("status"), lifecycle.ineligible(status(t), t, PAGED).alias("reason")))
-    return table(spark, sf, "documents").select("doc_id", F.inline(F.array(both)))
+    return table(spark, sf, "documents").select("doc_id", F.inline_outer(F.array(both)))
 
 
 @query(
@@ -101,7 +101,8 @@ sents AS (SELECT doc_id, unnest(range(len(s))) AS ix, unnest(s) AS sentence FROM
 @query(f"WITH {SENTENCES_CTE} SELECT doc_id, CAST(ix AS BIGINT) AS sent_ix, sentence FROM sents")
 def sentences(spark, sf):
     """T3"""
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_ix", "sentence")).withColumn("sent_ix", F.col("sent_ix").cast("long"))
+    rows = F.transform(text.sentences(F.col("text")), lambda s, i: F.struct(i.cast("long").alias("sent_ix"), s.alias("sentence")))
+    return text.unnested(table(spark, sf, "documents"), rows, "sent_ix", "doc_id")
 
 
 SEMANTIC_SQL = f"""WITH RECURSIVE {SENTENCES_CTE},
@@ -348,7 +349,7 @@ def question_sampling(spark, sf):
     d = F.col("doc_id")
     paper = F.concat(F.lit("Section "), d, F.lit("\nQ. "), d % 90 + 1, F.lit(") Consider the  following pair "), d, F.lit("\nWhich of these statements is right "), d % 3, F.lit("?\n\n"), F.col("text"))
     both = text.let(text.sampled_questions(paper), lambda q: F.struct(F.size(q).cast("long").alias("n"), text.numbered(q).alias("sampled")))
-    return table(spark, sf, "documents").select("doc_id", F.inline(F.array(both)))
+    return table(spark, sf, "documents").select("doc_id", F.inline_outer(F.array(both)))
 
 
 @query("SELECT md5(text) AS content_key, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY md5(text)")
@@ -365,7 +366,7 @@ def content_hash_dedupe(spark, sf):
 def truncations(spark, sf):
     """T19, T23, O7"""
     both = text.let(text.first_words(F.col("text")), lambda t: F.struct(text.word_count(t).alias("n"), t.alias("profile")))
-    return table(spark, sf, "documents").select("doc_id", F.inline(F.array(both)), text.short_error(F.col("text")).alias("error"))
+    return table(spark, sf, "documents").select("doc_id", F.inline_outer(F.array(both)), text.short_error(F.col("text")).alias("error"))
 
 
 @query()
