@@ -182,4 +182,6 @@ def age_s(at: Column, now: Column) -> Column:
 
 def retryable(message: Column) -> Column:
     """Errors worth another try: rate limits, quotas, overload and server errors."""
-    return F.coalesce(F.lower(message).rlike(r"\b429\b|\b50[0-9]\b|quota|rate limit|resource exhausted|overloaded|unavailable"), F.lit(False))
+    from ..providers import RETRYABLE
+
+    return F.coalesce(F.lower(message).rlike(RETRYABLE.pattern), F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, FAULTY_CRITIQUES, TOPICS
 from ..functions import text
-from ..operators import export, lifecycle, selection, serving
+from ..operators import export, lifecycle, pages, selection, serving
 from ..sources.tables import table, topics
 from .registry import query
 
@@ -377,6 +377,20 @@ def metadata_fields(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", k.alias("k")).agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS page, CAST(floor(value) AS BIGINT) * 100 AS t FROM events),
+    b AS (SELECT user_id, page // 3 AS batch, count(*) AS pages, CAST(sum(t) AS BIGINT) AS tokens FROM p GROUP BY user_id, page // 3),
+    s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY user_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+    SELECT user_id, batch, pages, tokens, CAST(before + tokens AS BIGINT) AS spent FROM s WHERE before < 160000"""
+)
+def page_batches(spark, sf):
+    """M11, A2: three pages a call, and the token budget of a run"""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf, "events").select("user_id", (F.row_number().over(order) - 1).alias("page"), (F.floor("value").cast("long") * 100).alias("t"))
+    batches = rows.groupBy("user_id", pages.batch_of(F.col("page")).alias("batch")).agg(F.count("*").alias("pages"), F.sum("t").alias("tokens"))
+    return pages.within_budget(batches, "user_id", "batch", "tokens")
+
+
 @query()
 def generated_tests(spark, sf):
     """3.1 with the mock provider"""

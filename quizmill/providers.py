@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -15,6 +17,10 @@ from .config import DEFAULT, Config
 from .functions.text import difficulty, seed
 
 
+#: What tells of an error worth another try.
+RETRYABLE = re.compile(r"\b429\b|\b50[0-9]\b|quota|rate limit|resource exhausted|overloaded|unavailable")
+
+
 class Provider(Protocol):
     """Methods take and return lists, so that a partition's rows go out in batches."""
 
@@ -71,6 +77,38 @@ def provider(name: str = "mock") -> Provider:
         return MockProvider()
 
 
+class Chain:
+    """Providers in turn: a call that fails with a retryable error is tried again, then goes to the next provider, which all later calls go to as well.
+
+    Other errors go to the next provider at once. One chain serves one task.
+    """
+
+    def __init__(self, *names: str, tries: int = 4, wait: Callable[[int], None] = lambda attempt: time.sleep(min(60, 2 << attempt))):
+        self.names, self.tries, self.wait, self.at = names, tries, wait, 0
+
+    def _call(self, method: str, *args):
+        error: Exception | None = None
+        while self.at < len(self.names):
+            model = provider(self.names[self.at])
+            for attempt in range(self.tries):
+                try:
+                    return getattr(model, method)(*args)
+                except Exception as e:  # noqa: BLE001  any failure of a provider
+                    error = e
+                    if not RETRYABLE.search(str(e).lower()):
+                        break
+                    if attempt + 1 < self.tries:
+                        self.wait(attempt)
+            self.at += 1
+        self.at = len(self.names) - 1
+        raise RuntimeError("no provider answered") from error
+
+    def __getattr__(self, method: str):
+        if method.startswith("_"):
+            raise AttributeError(method)
+        return lambda *args: self._call(method, *args)
+
+
 def mapped(rows: DataFrame, column: str, out: str, method: str, name: str = "mock", batch: int = 20) -> DataFrame:
     """rows with the provider's string for each value of a column; one provider a task, `batch` values a call, one by one if a batch fails."""
 

@@ -250,3 +250,25 @@ def test_screen_text(spark):
     assert values(spark, text.screen_word_count(F.lit("a b  c"))) == 3
     assert values(spark, text.screen_word_count(F.repeat(F.lit("x"), F.lit(400_003)))) == 80_001
     assert values(spark, text.screen_text(F.repeat(F.lit("x"), F.lit(60_001)))) is None
+
+
+def test_chains_retry_and_stay_with_the_next():
+    calls = []
+
+    class Busy(providers.MockProvider):
+        def summarize(self, texts):
+            calls.append("busy")
+            raise RuntimeError("HTTP 429")
+
+    class Broken(providers.MockProvider):
+        def summarize(self, texts):
+            calls.append("broken")
+            raise ValueError("bad request")
+
+    providers.register("busy", Busy)
+    providers.register("broken", Broken)
+    chain = providers.Chain("busy", "broken", "mock", tries=3, wait=lambda _: None)
+    assert chain.summarize(["a b"]) == ["a b"] and calls == ["busy"] * 3 + ["broken"]
+    assert chain.summarize(["c"]) == ["c"] and len(calls) == 4
+    with pytest.raises(RuntimeError):
+        providers.Chain("broken", wait=lambda _: None).summarize([])
