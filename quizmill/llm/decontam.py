@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import table, with_broadcast_if, written
+from .stage import table, unwrapped, whole, with_broadcast_if, written
 
 #: What stands between words, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -147,8 +147,8 @@ def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     index = build_index(docs, items, id_col, text_col, item_col, item_text_col, marked=True)
     hit = index.documents.join(exact_matches(index, size).select("row").distinct(), "row", "left_semi")
     hit = written(hit.select(F.col("mark").alias("mark_")).distinct(), "hit")
-    marked = docs.withColumn("mark_", _mark(F.col(id_col), F.col(text_col)))
-    return marked.join(with_broadcast_if(hit, BROADCAST_ROWS), "mark_", "left_anti").select(*docs.columns)
+    marked = docs.select(_mark(F.col(id_col), F.col(text_col)).alias("mark_"), whole(docs).alias("kept_"))
+    return unwrapped(marked.join(with_broadcast_if(hit, BROADCAST_ROWS), "mark_", "left_anti"), "kept_", docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

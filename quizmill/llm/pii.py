@@ -103,7 +103,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     named are ignored. No rows: no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.struct(*keep) if keep else F.lit(None).cast("string")).alias("kept"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")).alias("kept"))
     rows = rows.withColumn("text", text)
     seen = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "kept", "text", spans_of(F.col("text"), BASE, HINT, True).alias("base"))
     digits = F.col("text").rlike("[0-9]{3}|@|[(\\[]at[)\\]]")

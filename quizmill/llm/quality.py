@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import table, written
+from .stage import table, unwrapped, whole, written
 
 #: Random features, kernel width in standard deviations per square root of a statistic, ridge penalty per row, bins of the calibration.
 FEATURES, WIDTH, PENALTY, BINS, SEED = 256, 1.5, 1e-4, 1000, 7
@@ -185,10 +185,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns."""
-    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), F.struct(*docs.columns).alias("kept"))
-    stats, model = _fitted(rows, labels.withColumnRenamed(id_col, "id_"), "id_", "text_", label_col)
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), whole(docs).alias("kept"))
+    stats, model = _fitted(rows, labels.select(F.col(id_col).alias("id_"), label_col), "id_", "text_", label_col)
     good = _scored(stats, model, threshold).where("predicted = 1")
-    return good.select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    return unwrapped(good, "kept", docs.columns)
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, Model | None]:

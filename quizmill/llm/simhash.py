@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .stage import table, written
+from .stage import table, unwrapped, whole, written
 
 #: Fingerprints of a tile at most, about. A task holds two tiles and CHUNK distances.
 TILE, CHUNK = 16384, 2_000_000
@@ -244,7 +244,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shingle sets (those of the rows that stand for the two sketches) is at least `similarity`. Equal sketches are one group. Blank and null
     texts are one group. Null ids come after others; rows of equal id in any order. No rows: no rows.
     """
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("kept")), "numbered")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), whole(docs).alias("kept")), "numbered")
     texts = rows.select("row", F.col(f"kept.{text_col}").alias("text"))
     prints = written(fingerprints(texts, "row", "text", size, len(SKETCH_LIMITS)).withColumnRenamed("doc_id", "row"), "sketches")
     ids = rows.select("row", F.col(f"kept.{id_col}").cast("long").alias("doc_id"))
@@ -263,7 +263,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = connected(true, "row_a", "row_b")
     groups = distinct.select("least", F.col("least.row").alias("row")).join(roots.withColumnRenamed("node", "row"), "row", "left")
     stay = groups.groupBy(F.coalesce("root", "row").alias("group")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
-    return rows.join(stay, "row", "left_semi").select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    return unwrapped(rows.join(stay, "row", "left_semi"), "kept", docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -48,6 +48,15 @@ def with_broadcast_if(df: DataFrame, limit_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, limit_rows) else df
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of df in a struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unwrapped(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"{struct}.`{c}`").alias(c) for c in columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from quizmill.llm.decontam import build_index, contamination, proximity_matches
+from quizmill.llm.decontam import build_index, contamination, proximity_matches, uncontaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -55,3 +55,14 @@ def test_proximity(spark):
     index = build_index(docs, items)
     near = proximity_matches(index, 4).join(index.documents, "row").select("doc_id").distinct()
     assert sorted(r[0] for r in near.collect()) == [1, 2]
+
+
+def test_uncontaminated_keeps_rows_and_columns(spark):
+    ten = "a b c d e f g h i j"
+    rows = [(1, None, 0, "x"), (2, f"{ten} k", 0, "x"), (2, "fine", 0, "x"), (None, ten, 0, "x"), (None, "", 1, None), (None, "", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `mark_` int, `kept.it` string")
+    items = spark.createDataFrame([(1, ten), (2, None)], "item_id long, text string")
+    out = uncontaminated(docs, items)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+    assert uncontaminated(docs, items.limit(0)).count() == 6

@@ -70,4 +70,6 @@ def test_redact(spark):
     docs = spark.createDataFrame([(1, "to a@b.cd, 1.2.3.4", "en"), (2, None, None), (3, "none", "de")], "doc_id long, text string, lang string")
     out = redact(docs)
     assert out.columns == docs.columns
+    odd = docs.withColumnRenamed("lang", "kept.lang").withColumn("row", docs["doc_id"]).withColumn("spans", docs["text"])
+    assert redact(odd).columns == odd.columns and redact(odd).count() == 3
     assert sorted(map(tuple, out.collect()), key=str) == [(1, "to <EMAIL>, <IP>", "en"), (2, None, None), (3, "none", "de")]
