@@ -7,8 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import TOPICS
 
 
+#: Tables whose rows take long to work on; bytes a core below which their rows are dealt out first.
+HEAVY, DEALT_BYTES = {"documents", "pages", "conversations"}, 4 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table. A small one of texts is often a single row group, that is one task: its rows go to all cores."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * DEALT_BYTES:
+        return rows.repartition(cores)
+    return rows
 
 
 def topics(spark: SparkSession) -> DataFrame:
