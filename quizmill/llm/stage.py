@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
+
+__all__ = ["discard", "shared_dir", "small_enough", "table", "tables_written", "unwrapped", "whole", "with_broadcast_if", "written"]
+
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -57,10 +61,6 @@ def unwrapped(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"{struct}.`{c}`").alias(c) for c in columns])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def discard(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
     """Deletes the tables written after the first `since`, but for the one that keep reads."""
     kept = set(keep.inputFiles()) if keep is not None else set()
