@@ -335,7 +335,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     copies = whole_copies(long)
     rest = long.join(with_broadcast_if(copies, BROADCAST_ROWS), "row", "left_anti")
     every = rest.mapInArrow(find, "row long, gram long, range long")  # hashed twice: cheaper than a table of all anchors
-    again = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # a table, not an aggregate under the join: so Catalyst can split a gram that is in very many documents
+    again = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     ranges = every.join(again, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "range")).alias("held"))
     around = rows.select("row", "text").join(ranges, "row").select("row", "text", "held")
 
