@@ -118,8 +118,13 @@ class ByteNet:
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], ByteNet | None]:
     """Languages and a network trained on a bounded, evenly chosen sample of the rows that aren't held out."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang")).where("doc_id is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.where(~held_out(F.col("doc_id"))).withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS).select("doc_id", "lang")
+    ids = ids.where(~held_out(F.col("doc_id")))
+    # a share of each language by hash that leaves about twice as many as wanted, so that no task ranks all of a language
+    counts = with_broadcast_if(written(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages"), 100_000)
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    ids = ids.join(counts, "lang").where(share * F.col("n") < 2 * DOCS)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
+    ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS).select("doc_id", "lang")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     chosen = texts.where("text is not null").join(with_broadcast_if(written(ids, "sample").distinct(), 100_000), ["doc_id", "lang"], "left_semi")
 
