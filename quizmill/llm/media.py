@@ -190,7 +190,7 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ignored. No rows: no rows.
     """
     items = interleaved(as_pages(docs, id_col, text_col), "id", "html").where("kind = 'media'")
-    out = resolve(items.select("id", "pos", "ref", "caption"), features(media_table(docs, text_col)))
+    out = resolve(items.select("id", "pos", "ref", "caption"), written(features(media_table(docs, text_col)), "features"))  # a table: Catalyst can split a digest that many share
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
 
 
