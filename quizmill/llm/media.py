@@ -169,6 +169,12 @@ def resolve(items: DataFrame, found: DataFrame) -> DataFrame:
     return items.withColumn("digest", ref).join(found, "digest", "left")
 
 
+def sequences(items: DataFrame) -> DataFrame:
+    """(id, items): a page's items as one ordered array of structs, references with whatever was resolved for them."""
+    held = F.struct("pos", *[c for c in items.columns if c not in ("id", "pos")])
+    return items.groupBy("id").agg(F.array_sort(F.collect_list(held), lambda a, b: a["pos"] - b["pos"]).alias("items"))
+
+
 def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, html): each text's page, which shows the text and, in a figure, the raster of its bytes."""
 

@@ -1,7 +1,7 @@
 import hashlib
 import zlib
 
-from quizmill.llm.media import SCHEME, SequenceParser, documents_as_media, features, interleaved, load, media_table, op10_media, resolve, store
+from quizmill.llm.media import SCHEME, SequenceParser, documents_as_media, features, interleaved, load, media_table, op10_media, resolve, sequences, store
 
 
 def brute(text):
@@ -37,6 +37,8 @@ def test_sequences_keep_order_and_captions(spark):
     pages = spark.createDataFrame([(1, f'<p>a</p><img src="{SCHEME}{digest}"><p>b</p><img src="gone">'), (2, None)], "page_id long, html string")
     out = resolve(interleaved(pages), features(media_table(docs))).orderBy("pos").collect()
     assert [(r["pos"], r["kind"], r["n_bytes"]) for r in out] == [(0, "text", None), (1, "media", 7), (2, "text", None), (3, "media", None)]
+    whole = sequences(resolve(interleaved(pages), features(media_table(docs)))).first()["items"]
+    assert [(x["pos"], x["text"], x["payload_bytes"]) for x in whole] == [(0, "a", None), (1, None, 64), (2, "b", None), (3, None, None)]
 
 
 def test_store_is_lossless():
