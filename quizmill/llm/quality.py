@@ -186,9 +186,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns."""
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), whole(docs).alias("kept"))
-    stats, model = _fitted(rows, labels.select(F.col(id_col).alias("id_"), label_col), "id_", "text_", label_col)
-    good = _scored(stats, model, threshold).where("predicted = 1")
-    return unwrapped(good, "kept", docs.columns)
+    _, model = _fitted(rows.drop("kept"), labels.select(F.col(id_col).alias("id_"), label_col), "id_", "text_", label_col)
+    # the statistics are counted again rather than stored beside the texts
+    stats = document_statistics(rows, "id_", "text_").withColumn("held_out", F.lit(False))
+    return unwrapped(_scored(stats, model, threshold).where("predicted = 1"), "kept", docs.columns)
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, Model | None]:

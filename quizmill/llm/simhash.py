@@ -244,7 +244,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shingle sets (those of the rows that stand for the two sketches) is at least `similarity`. Equal sketches are one group. Blank and null
     texts are one group. Null ids come after others; rows of equal id in any order. No rows: no rows.
     """
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), whole(docs).alias("kept")), "numbered")
+    ids = F.col(id_col).cast("long")
+    plain = docs.groupBy(ids.alias("id")).agg(F.count("*").alias("n")).where("id is null or n > 1").limit(1).count() == 0
+    rows = docs.select((ids if plain else F.monotonically_increasing_id()).alias("row"), whole(docs).alias("kept"))
+    if not plain:  # row numbers must stay the same
+        rows = written(rows, "numbered")
     texts = rows.select("row", F.col(f"kept.{text_col}").alias("text"))
     prints = written(fingerprints(texts, "row", "text", size, len(SKETCH_LIMITS)).withColumnRenamed("doc_id", "row"), "sketches")
     ids = rows.select("row", F.col(f"kept.{id_col}").cast("long").alias("doc_id"))
