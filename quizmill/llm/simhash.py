@@ -2,7 +2,7 @@
 
 Distinct fingerprints are dealt to cells by the population counts of their parts. The Hamming distance of two
 fingerprints is at least the sum of the differences of their parts' population counts, so cell pairs whose counts
-differ beyond the radius are skipped, and all others are compared in full by exclusive-or and bit counts in numpy.
+differ beyond the radius are skipped, and all others are compared by exclusive-or and bit counts in numpy, in large tiles again by sub-tiles of equal counts of the quarters.
 A cell larger than TILE fingerprints is split by hash into several tiles; a task holds two tiles. Of the pairs within the
 radius a task returns a least-distance spanning forest only (at most one link fewer than fingerprints), which has
 the same components as all pairs.
@@ -23,6 +23,8 @@ from .stage import table, unwrapped, whole, written
 
 #: Fingerprints of a tile at most, about. A task holds two tiles and CHUNK distances.
 TILE, CHUNK = 16384, 2_000_000
+#: Pairs of a tile pair from which sub-tiles pay.
+SUBTILED = 1_000_000
 _LOW = np.uint64(0x0101010101010101)
 
 
@@ -112,6 +114,34 @@ def spanning_forest(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.n
         label = parent[label]
 
 
+def _quarters(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by the population counts of the first word's four quarters, the bounds of equal ones, and their counts."""
+    counts = np.bitwise_count(np.ascontiguousarray(rows[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int64)
+    order = np.lexsort(counts.T)
+    counts = counts[order]
+    fresh = np.flatnonzero(np.append(True, (np.diff(counts, axis=0) != 0).any(axis=1)))
+    return order, np.append(fresh, len(rows)), counts[fresh]
+
+
+def _parts(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes into a and b of sub-tiles to compare. Those whose quarters' population counts differ beyond the radius are skipped, if that pays."""
+    if radius > 8 or len(a) * len(b) < SUBTILED:
+        step = max(1, CHUNK // max(1, len(b)))
+        for at in range(0, len(a), step):
+            yield np.arange(at, min(at + step, len(a))), np.arange(len(b))
+        return
+    (order_a, ends_a, counts_a), (order_b, ends_b, counts_b) = _quarters(a), _quarters(b)
+    for k, counts in enumerate(counts_a):
+        rows = order_a[ends_a[k] : ends_a[k + 1]]
+        near = np.flatnonzero(np.abs(counts_b - counts).sum(axis=1) <= radius)
+        if not len(near):
+            continue
+        others = np.concatenate([order_b[ends_b[x] : ends_b[x + 1]] for x in near])
+        step = max(1, CHUNK // len(others))
+        for at in range(0, len(rows), step):
+            yield rows[at : at + step], others
+
+
 def tile_links(a: np.ndarray, b: np.ndarray | None, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning links between the rows of a and b (b None: within a): their indexes in a followed by b, and distances.
 
@@ -121,21 +151,21 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, limits: tuple[int, ...]) ->
     base = 0 if b is None else len(a)
     n = len(a) + (0 if b is None else len(b))
     u = v = w = np.zeros(0, np.int64)
-    step = max(1, CHUNK // max(1, len(other)))
-    columns = [np.ascontiguousarray(other[:, k]) for k in range(other.shape[1])]
-    for at in range(0, len(a), step):
-        d = np.bitwise_count(a[at : at + step, :1] ^ columns[0][None, :])
+    for rows, others in _parts(a, other, limits[0]):
+        part = other[others]
+        d = np.bitwise_count(a[rows, :1] ^ part[:, 0][None, :])
         i, j = np.nonzero(d <= limits[0])
-        if b is None:
-            later = j > i + at
-            i, j = i[later], j[later]
         total = d[i, j].astype(np.int64)
-        for k, column in enumerate(columns[1:], 1):
-            total += np.bitwise_count(a[at + i, k] ^ column[j])
+        i, j = rows[i], others[j]
+        if b is None:
+            later = j > i
+            i, j, total = i[later], j[later], total[later]
+        for k in range(1, other.shape[1]):
+            total += np.bitwise_count(a[i, k] ^ other[j, k])
             near = total <= limits[k]
             i, j, total = i[near], j[near], total[near]
         if len(i):
-            u, v, w = np.concatenate([u, i + at]), np.concatenate([v, j + base]), np.concatenate([w, total])
+            u, v, w = np.concatenate([u, i]), np.concatenate([v, j + base]), np.concatenate([w, total])
             if len(u) > n:
                 keep = spanning_forest(n, u, v, w)
                 u, v, w = u[keep], v[keep], w[keep]

@@ -122,3 +122,21 @@ def test_one_of_each_group_of_variants_nulls_and_ties(spark):
     twice = one_of_each_group(docs.unionByName(docs))
     assert sorted(r["doc_id"] for r in twice.collect()) == jaccard_groups(rows)
     assert one_of_each_group(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_sub_tiles_lose_no_link(monkeypatch, within):
+    from quizmill.llm import simhash
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 300, dtype=np.int64).view(np.uint64)
+    rows = np.concatenate([base, base[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ np.uint64(1 << 40), rng.integers(0, 2**63, 300, dtype=np.int64).view(np.uint64)]).reshape(-1, 1)
+    rng.shuffle(rows)
+    a, b = (rows, None) if within else (rows[:400], rows[400:])
+    plain = tile_links(a, b, (3,))
+    monkeypatch.setattr(simhash, "SUBTILED", 0)
+    fine = tile_links(a, b, (3,))
+    both = a if b is None else np.concatenate([a, b])
+    assert len(plain[0]) == len(fine[0]) > 50
+    assert (np.bitwise_count(both[fine[0], 0] ^ both[fine[1], 0]) == fine[2]).all()
+    assert sorted(plain[2]) == sorted(fine[2])
