@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .stage import table, with_broadcast_if, written
+from .stage import sliced, table, with_broadcast_if, written
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 #: Training takes at most DOCS documents a language (by the hash of their ids), and of each at most SPREAD windows, evenly spread.
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     langs, net = fit(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             pred, score = [], []
             for text in b.column(2).to_pylist():
                 if net is None or not any(map(str.isalpha, text or "")):

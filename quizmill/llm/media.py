@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import table, written
+from .stage import sliced, table, written
 
 ROW = 64
 SCHEME = "media:sha256:"
@@ -98,7 +98,7 @@ def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """(id, pos, kind, text, ref, caption): the items of each page in order; null and empty pages have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [(i, k, *item) for i, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, item in enumerate(SequenceParser().sequence(html))]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.string()] * 4], strict=True)], ["id", "pos", "kind", "text", "ref", "caption"])
@@ -133,10 +133,10 @@ def feature(payload: bytes) -> str:
 
 
 def media_table(payloads: DataFrame, text_col: str = "text") -> DataFrame:
-    """The written (digest, stored), copies within a batch once; null is empty."""
+    """The written (digest, stored), copies within a slice of a batch once; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             held = {hashlib.sha256(s).hexdigest(): s for s in (store((t or "").encode()) for t in b.column(0).to_pylist())}
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.binary())], ["digest", "stored"])
 
@@ -152,7 +152,7 @@ def features(media: DataFrame) -> DataFrame:
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for digest, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n, payload = load(stored)
@@ -179,7 +179,7 @@ def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, html): each text's page, which shows the text and, in a figure, the raster of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             html = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 digest = hashlib.sha256(store((text or "").encode())).hexdigest()

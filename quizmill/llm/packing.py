@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import table, with_broadcast_if, written
+from .stage import sliced, table, with_broadcast_if, written
 from .tokens import default_path, encoder
 
 
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
-        for b in batches:
+        for b in sliced(batches, 256):
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1).to_pylist()), strict=True):
                 end = len(ids) - (len(ids) - 1) // capacity * capacity

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import table, unwrapped, whole, written
+from .stage import sliced, table, unwrapped, whole, written
 
 #: Random features, kernel width in standard deviations per square root of a statistic, ridge penalty per row, bins of the calibration.
 FEATURES, WIDTH, PENALTY, BINS, SEED = 256, 1.5, 1e-4, 1000, 7
@@ -117,7 +117,7 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     kept = f", kept {dict(rows.dtypes)['kept']}" if "kept" in rows.columns else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([statistics(t) for t in b.column(1).to_pylist()], np.float32).reshape(-1, N_STATISTICS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N_STATISTICS, x.ravel()), *b.columns[2:]], ["doc_id", "x", *b.schema.names[2:]])
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .stage import table, unwrapped, whole, written
+from .stage import sliced, table, unwrapped, whole, written
 
 #: Fingerprints of a tile at most, about. A task holds two tiles and CHUNK distances.
 TILE, CHUNK = 16384, 2_000_000
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp array<long>): `words` times 64 bits. Null and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             made = [majority(shingle_hashes(t, size), words).view(np.int64) for t in b.column(1).to_pylist()]
             flat = np.concatenate(made) if made else np.zeros(0, np.int64)
             offsets = np.arange(len(made) + 1, dtype=np.int32) * words
@@ -259,7 +259,7 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     """(row, shingles array<long>): the distinct shingle hashes of rows(row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in b.column(1).to_pylist()]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["row", "shingles"])

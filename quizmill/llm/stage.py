@@ -6,13 +6,15 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-__all__ = ["discard", "shared_dir", "small_enough", "table", "tables_written", "unwrapped", "whole", "with_broadcast_if", "written"]
+__all__ = ["discard", "shared_dir", "sliced", "small_enough", "table", "tables_written", "unwrapped", "whole", "with_broadcast_if", "written"]
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -61,6 +63,13 @@ def unwrapped(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"{struct}.`{c}`").alias(c) for c in columns])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what a worker makes of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def discard(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
     """Deletes the tables written after the first `since`, but for the one that keep reads."""
     kept = set(keep.inputFiles()) if keep is not None else set()

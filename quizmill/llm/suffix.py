@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import table, with_broadcast_if, written
+from .stage import sliced, table, with_broadcast_if, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a long text that are hashed at once; bytes of contexts that make a shard's text; different contexts of a gram that one shard takes.
@@ -324,7 +324,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, spans): spans array<struct<a, b>>, unmerged, of the bytes to remove (b may be past the end); rows without any are left out."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).cast(pa.large_binary())
             parts = [(row, *anchors(texts[k].as_py())) for k, row in enumerate(b.column(0).to_pylist())]
             ids = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
@@ -341,7 +341,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     around = rows.select("row", "text").join(ranges, "row").select("row", "text", "held")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2048):
             texts = b.column(1).cast(pa.large_binary())
             counts = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
             held = b.column(2).flatten()
@@ -394,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = rows.join(repeated_spans(rows), "row", "left").select("doc_id", "text", "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, lists, made = b.column(1).cast(pa.large_binary()), b.column(2), []
             for k, doc in enumerate(b.column(0).to_pylist()):
                 data, spans = texts[k].as_py(), lists[k]
