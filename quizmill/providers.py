@@ -147,7 +147,7 @@ def embedded(rows: DataFrame, column: str, name: str = "mock") -> DataFrame:
 
 def mock_mcqs(rows: DataFrame, text: Column, topics: list[str], n: int, level: str | None = None, *keep: str) -> DataFrame:
     """(kept columns, cand_ix, question, options, correct_option, explanation, difficulty, topic_tag): the mock's questions, all in the JVM."""
-    count = max(1, min(25, n))
+    count = max(1, min(25, n))  # fixed values: the bounds, and the texts below
     i = F.col("cand_ix")
     slugs = F.array(*map(F.lit, topics or ["polity"]))
     number = (i + 1).cast("string")
