@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import sliced, table, unwrapped, whole, written
+from .stage import sliced, table, unique_ids, unwrapped, whole, with_broadcast_if, written
 
 #: Random features, kernel width in standard deviations per square root of a statistic, ridge penalty per row, bins of the calibration.
 FEATURES, WIDTH, PENALTY, BINS, SEED = 256, 1.5, 1e-4, 1000, 7
 LOW, HIGH = -0.5, 1.5
+#: So many ids of rejected rows may be broadcast (some tens of MB); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 MARKS = b"!*#$%&|.,=:"
 
 
@@ -184,7 +186,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns."""
+    """The rows of docs whose score reaches the threshold, with all their columns.
+
+    Where ids are unique, only those of rejected rows meet the rows again; else the rows go through the scoring themselves.
+    """
+    if unique_ids(docs, id_col):
+        scored = score_quality(docs, labels, id_col, text_col, label_col, threshold)
+        rejected = written(scored.where("predicted = 0").select(F.col("doc_id").alias("rejected_")), "rejected")
+        rows = docs.select(F.col(id_col).cast("long").alias("rejected_"), whole(docs).alias("kept"))
+        return unwrapped(rows.join(with_broadcast_if(rejected, BROADCAST_ROWS), "rejected_", "left_anti"), "kept", docs.columns)
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), whole(docs).alias("kept"))
     _, model = _fitted(rows.drop("kept"), labels.select(F.col(id_col).alias("id_"), label_col), "id_", "text_", label_col)
     # the statistics are counted again rather than stored beside the texts

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .stage import sliced, table, unwrapped, whole, written
+from .stage import sliced, table, unique_ids, unwrapped, whole, written
 
 #: Fingerprints of a tile at most, about. A task holds two tiles and CHUNK distances.
 TILE, CHUNK = 16384, 2_000_000
@@ -275,7 +275,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts are one group. Null ids come after others; rows of equal id in any order. No rows: no rows.
     """
     ids = F.col(id_col).cast("long")
-    plain = docs.groupBy(ids.alias("id")).agg(F.count("*").alias("n")).where("id is null or n > 1").limit(1).count() == 0
+    plain = unique_ids(docs, id_col)
     rows = docs.select((ids if plain else F.monotonically_increasing_id()).alias("row"), whole(docs).alias("kept"))
     if not plain:  # row numbers must stay the same
         rows = written(rows, "numbered")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-__all__ = ["discard", "shared_dir", "sliced", "small_enough", "table", "tables_written", "unwrapped", "whole", "with_broadcast_if", "written"]
+__all__ = ["discard", "shared_dir", "sliced", "small_enough", "table", "tables_written", "unique_ids", "unwrapped", "whole", "with_broadcast_if", "written"]
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -63,6 +63,12 @@ def unwrapped(df: DataFrame, struct: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"{struct}.`{c}`").alias(c) for c in columns])
 
 
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids are never null and never repeat, so that they can stand for their rows."""
+    counts = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    return counts.where("id is null or n > 1").limit(1).count() == 0
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches: what a worker makes of one at a time stays small."""
     for batch in batches:

@@ -49,6 +49,14 @@ def test_nulls_ties_empty_and_extra_columns(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in got)
 
 
+def test_accepted_by_unique_ids(spark):
+    rows = [(k, "!! " * 40 if k % 3 == 0 else f"plain words of text number {k} " * 8) for k in range(60)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, `rejected_` string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(60)], "doc_id long, quality int")
+    kept = accepted(docs, labels)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [k for k in range(60) if k % 3]
+
+
 def test_statistics_use_the_whole_text():
     assert len(statistics("a")) == N_STATISTICS == len(statistics(None))
     assert statistics("a " * 20000 + "!!") != statistics("a " * 20000 + "ab")
