@@ -253,6 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: (the angle whose cosine is 2s / (1 + s), over pi, of the bits); the limits are 3.5, 3.6, 3.3 and 3.2 standard deviations above.
 SKETCH_LIMITS = (20, 34, 46, 57)
 SIZE, SIMILARITY = 5, 0.8
+#: What a block of documents weighs at most, about, when all their candidate pairs are tested: its shingles, and NODE a document.
+BLOCK, NODE = 500_000, 256
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -267,11 +269,63 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
 
 
+def true_links(prints: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, first: int, similarity: float) -> list[tuple[int, int]]:
+    """Indexes of linked rows. Pairs of the first rows with the others (of all, if there are no others) whose labels differ and whose
+    sketches are within SKETCH_LIMITS are tested exactly, unless links found here join the two already."""
+    others = np.arange(first, len(prints)) if first < len(prints) else np.arange(len(prints))
+    label, sizes, out = np.unique(labels, return_inverse=True)[1], np.fromiter(map(len, sets), np.int64, len(sets)), []
+    step = max(1, CHUNK // max(1, len(others)))
+    for at in range(0, first, step):
+        rows = np.arange(at, min(at + step, first))
+        i, j = np.nonzero(label[rows][:, None] != label[others][None, :])
+        i, j = rows[i], others[j]
+        near = (i < j) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
+        i, j = i[near], j[near]
+        total = np.zeros(len(i), np.int64)
+        for k, limit in enumerate(SKETCH_LIMITS):
+            total += np.bitwise_count(prints[i, k] ^ prints[j, k])
+            near = total <= limit
+            i, j, total = i[near], j[near], total[near]
+        for x in np.argsort(total, kind="stable").tolist():
+            u, v = int(i[x]), int(j[x])
+            if label[u] == label[v]:
+                continue
+            shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            if shared >= similarity * (sizes[u] + sizes[v] - shared):
+                out.append((u, v))
+                label[label == label[v]] = label[u]
+    return out
+
+
+def links_within(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): labels that a true link joins, of nodes(comp, label, row, fp, shingles). All candidate pairs of a comp are tested whose labels differ.
+
+    A comp is dealt to blocks by weight, and a group holds two blocks.
+    """
+    split = nodes.groupBy("comp").agg(F.ceil(F.sum(F.size("shingles") + NODE) / BLOCK).cast("int").alias("split"))
+    dealt = nodes.join(split, "comp").withColumn("part", F.pmod(F.xxhash64("row"), F.col("split")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
+    dealt = dealt.select("comp", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), (F.col("part") > F.col("other")).alias("second"), "label", "fp", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        second, labels = group["second"].to_numpy(), group["label"].to_numpy()
+        order = np.argsort(second, kind="stable")
+        prints = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in group["fp"].chunks]).view(np.uint64).reshape(-1, len(SKETCH_LIMITS))[order]
+        sets = [s for c in group["shingles"].chunks for s in np.split(c.flatten().to_numpy(zero_copy_only=False), np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))[:-1])]
+        labels = labels[order]
+        found = true_links(prints, [sets[k] for k in order], labels, int((~second).sum()), similarity)
+        u, v = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(labels[u], pa.int64()), "b": pa.array(labels[v], pa.int64())})
+
+    return dealt.groupBy("comp", "part_a", "part_b").applyInArrow(run, "a long, b long")
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near-duplicates: of each group linked at `similarity` or more the row with the smallest id stays, with all its columns.
 
     256-bit sketches give a least-distance forest over the candidates; a link of it counts if the exact Jaccard similarity of the two
-    shingle sets (those of the rows that stand for the two sketches) is at least `similarity`. Equal sketches are one group. Blank and null
+    shingle sets (those of the rows that stand for the two sketches) is at least `similarity`. Where links of the forest fail, all candidate pairs
+    between the parts that they would have joined are tested. Equal sketches are one group. Blank and null
     texts are one group. Null ids come after others; rows of equal id in any order. No rows: no rows.
     """
     ids = F.col(id_col).cast("long")
@@ -293,10 +347,16 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = written(shingle_sets(texts.join(held, "row", "left_semi"), size), "shingles")
     both = links.join(sets.select(F.col("row").alias("row_a"), F.col("shingles").alias("x")), "row_a").join(sets.select(F.col("row").alias("row_b"), F.col("shingles").alias("y")), "row_b")
     shared = F.size(F.array_intersect("x", "y"))
-    true = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("row_a", "row_b")
-    roots = connected(true, "row_a", "row_b")
-    groups = distinct.select("least", F.col("least.row").alias("row")).join(roots.withColumnRenamed("node", "row"), "row", "left")
-    stay = groups.groupBy(F.coalesce("root", "row").alias("group")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
+    tested = written(both.select("row_a", "row_b", (shared >= similarity * (F.size("x") + F.size("y") - shared)).alias("linked")), "tested")
+    roots = connected(tested.where("linked"), "row_a", "row_b").withColumnRenamed("node", "row")
+    nodes = written(distinct.select("fp", "least", F.col("least.row").alias("row")).join(roots, "row", "left").withColumn("label", F.coalesce("root", "row")), "nodes")
+    label = lambda x: nodes.select(F.col("row").alias(f"row_{x}"), F.col("label").alias(f"label_{x}"))
+    # parts that failed links would have joined: a true link between two of them may not be in the forest
+    failed = tested.where("not linked").join(label("a"), "row_a").join(label("b"), "row_b")
+    comps = connected(failed, "label_a", "label_b").select(F.col("node").alias("label"), F.col("root").alias("comp"))
+    more = connected(links_within(nodes.join(comps, "label").join(sets, "row").select("comp", "label", "row", "fp", "shingles"), similarity), "a", "b")
+    groups = nodes.join(more.select(F.col("node").alias("label"), F.col("root").alias("top")), "label", "left")
+    stay = groups.groupBy(F.coalesce("top", "label").alias("group")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     return unwrapped(rows.join(stay, "row", "left_semi"), "kept", docs.columns)
 
 

@@ -140,3 +140,29 @@ def test_sub_tiles_lose_no_link(monkeypatch, within):
     assert len(plain[0]) == len(fine[0]) > 50
     assert (np.bitwise_count(both[fine[0], 0] ^ both[fine[1], 0]) == fine[2]).all()
     assert sorted(plain[2]) == sorted(fine[2])
+
+
+def on_a_template(rng, singles, partners):
+    """Documents at a similarity of 0.75 to each other, by their order, the last ones with a partner at 0.85 each."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(344)], []
+    for k in range(singles + partners):
+        own = [word() for _ in range(57)]
+        rows.append((len(rows), " ".join(template + own)))
+        if k >= singles:
+            rows.append((len(rows), " ".join(template + own[:-31] + [word() for _ in range(31)])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [500_000, 9_000])
+def test_links_are_found_among_candidates_that_fail(spark, monkeypatch, block):
+    import random
+
+    from quizmill.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = on_a_template(random.Random(3), 40, 20)
+    groups = jaccard_groups(rows)
+    assert len(groups) == 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in one_of_each_group(docs).collect()) == groups
