@@ -10,6 +10,7 @@ the same components as all pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -269,6 +270,21 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
 
 
+def sketches(rows: DataFrame, size: int) -> DataFrame:
+    """(row, same binary, fp array<long>): a digest of the set of shingle hashes of rows(row, text), and the sketch."""
+    words = len(SKETCH_LIMITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            hashes = [shingle_hashes(t, size) for t in b.column(1).to_pylist()]
+            same = [hashlib.blake2b(np.unique(h).tobytes(), digest_size=16).digest() for h in hashes]
+            made = [majority(h, words).view(np.int64) for h in hashes]
+            offsets = np.arange(len(made) + 1, dtype=np.int32) * words
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, np.concatenate(made) if made else np.zeros(0, np.int64))], ["row", "same", "fp"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, same binary, fp array<long>")
+
+
 def true_links(prints: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, first: int, similarity: float) -> list[tuple[int, int]]:
     """Indexes of linked rows. Pairs of the first rows with the others (of all, if there are no others) whose labels differ and whose
     sketches are within SKETCH_LIMITS are tested exactly, unless links found here join the two already."""
@@ -324,8 +340,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs without near-duplicates: of each group linked at `similarity` or more the row with the smallest id stays, with all its columns.
 
     256-bit sketches give a least-distance forest over the candidates; a link of it counts if the exact Jaccard similarity of the two
-    shingle sets (those of the rows that stand for the two sketches) is at least `similarity`. Where links of the forest fail, all candidate pairs
-    between the parts that they would have joined are tested. Equal sketches are one group. Blank and null
+    shingle sets is at least `similarity`. Where links of the forest fail, all candidate pairs
+    between the parts that they would have joined are tested. Equal shingle sets are one group, different ones of equal sketches are linked like any other. Blank and null
     texts are one group. Null ids come after others; rows of equal id in any order. No rows: no rows.
     """
     ids = F.col(id_col).cast("long")
@@ -334,22 +350,23 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not plain:  # row numbers must stay the same
         rows = written(rows, "numbered")
     texts = rows.select("row", F.col(f"kept.{text_col}").alias("text"))
-    prints = written(fingerprints(texts, "row", "text", size, len(SKETCH_LIMITS)).withColumnRenamed("doc_id", "row"), "sketches")
+    prints = written(sketches(texts, size), "sketches")
     ids = rows.select("row", F.col(f"kept.{id_col}").cast("long").alias("doc_id"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    distinct = written(prints.join(ids, "row").groupBy("fp").agg(F.min(order).alias("least")), "distinct")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "fp")
+    distinct = written(prints.join(ids, "row").groupBy("same").agg(F.min(order).alias("least")).select("least.fp", "least.row", F.col("least").dropFields("fp").alias("least")), "distinct")
+    stand = written(distinct.groupBy("fp").agg(F.min("row").alias("row")), "stand")
     counts = sum((F.bit_count(F.col("fp")[k]) for k in range(1, len(SKETCH_LIMITS))), F.bit_count(F.col("fp")[0]))
-    links = near_links(distinct, SKETCH_LIMITS, F.array(F.floor(counts / 8).cast("int")), dims=1, grain=8)
-    stand = distinct.select("fp", F.col("least.row").alias("row"))
+    links = near_links(stand, SKETCH_LIMITS, F.array(F.floor(counts / 8).cast("int")), dims=1, grain=8)
     links = links.join(stand.select(F.col("fp").alias("a"), F.col("row").alias("row_a")), "a").join(stand.select(F.col("fp").alias("b"), F.col("row").alias("row_b")), "b")
-    links = written(links.select("row_a", "row_b").distinct(), "candidates")
+    alike = distinct.join(stand.withColumnRenamed("row", "row_a"), "fp").where("row <> row_a").select("row_a", F.col("row").alias("row_b"))
+    links = written(links.select("row_a", "row_b").unionByName(alike).distinct(), "candidates")
     held = links.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
     sets = written(shingle_sets(texts.join(held, "row", "left_semi"), size), "shingles")
     both = links.join(sets.select(F.col("row").alias("row_a"), F.col("shingles").alias("x")), "row_a").join(sets.select(F.col("row").alias("row_b"), F.col("shingles").alias("y")), "row_b")
     shared = F.size(F.array_intersect("x", "y"))
     tested = written(both.select("row_a", "row_b", (shared >= similarity * (F.size("x") + F.size("y") - shared)).alias("linked")), "tested")
     roots = connected(tested.where("linked"), "row_a", "row_b").withColumnRenamed("node", "row")
-    nodes = written(distinct.select("fp", "least", F.col("least.row").alias("row")).join(roots, "row", "left").withColumn("label", F.coalesce("root", "row")), "nodes")
+    nodes = written(distinct.join(roots, "row", "left").withColumn("label", F.coalesce("root", "row")), "nodes")
     label = lambda x: nodes.select(F.col("row").alias(f"row_{x}"), F.col("label").alias(f"label_{x}"))
     # parts that failed links would have joined: a true link between two of them may not be in the forest
     failed = tested.where("not linked").join(label("a"), "row_a").join(label("b"), "row_b")

@@ -166,3 +166,9 @@ def test_links_are_found_among_candidates_that_fail(spark, monkeypatch, block):
     assert len(groups) == 60
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in one_of_each_group(docs).collect()) == groups
+
+
+def test_documents_of_equal_sketches_stay(spark):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(100)) + " - " * 130) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in one_of_each_group(docs).collect()) == jaccard_groups(rows) == list(range(6))
