@@ -271,13 +271,13 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
 
 
 def sketches(rows: DataFrame, size: int) -> DataFrame:
-    """(row, same binary, fp array<long>): a digest of the set of shingle hashes of rows(row, text), and the sketch."""
+    """(row, same binary, fp array<long>): a digest of the set of shingle hashes of rows(row, text), and the sketch of that set."""
     words = len(SKETCH_LIMITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            hashes = [shingle_hashes(t, size) for t in b.column(1).to_pylist()]
-            same = [hashlib.blake2b(np.unique(h).tobytes(), digest_size=16).digest() for h in hashes]
+            hashes = [np.unique(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
+            same = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in hashes]
             made = [majority(h, words).view(np.int64) for h in hashes]
             offsets = np.arange(len(made) + 1, dtype=np.int32) * words
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, np.concatenate(made) if made else np.zeros(0, np.int64))], ["row", "same", "fp"])

@@ -172,3 +172,10 @@ def test_documents_of_equal_sketches_stay(spark):
     rows = [(k, " ".join(f"w{k}x{i}" for i in range(100)) + " - " * 130) for k in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in one_of_each_group(docs).collect()) == jaccard_groups(rows) == list(range(6))
+
+
+def test_repeats_hide_no_pair(spark):
+    words, line = " ".join(f"w{i}" for i in range(200)), " ".join(f"l{i}" for i in range(10))
+    rows = [(1, f"{words} {line} {line}"), (2, f"{words} {' '.join([line] * 20)}"), (3, f"{words} {' '.join([line] * 40)}"), (4, f"{words} z {' '.join([line] * 40)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in one_of_each_group(docs).collect()] == jaccard_groups(rows) == [1]
