@@ -136,8 +136,8 @@ def _bootstrap(rows: DataFrame, seen: DataFrame) -> DataFrame | None:
     keys = with_broadcast_if(patterns.select("key").distinct(), BROADCAST_ROWS)
     w = rows.select(plain(F.col("text")).alias("w")).select("w", F.posexplode_outer("w").alias("at", "word"))
     at = lambda k: F.coalesce(F.get("w", F.col("at") + k), F.lit(""))
-    w = w.where(~F.col("word").rlike("[0-9]")).select(F.explode(F.array(F.concat(F.lit("< "), at(-2), F.lit(" "), at(-1)), F.concat(F.lit("| "), at(-1), F.lit(" "), at(1)))).alias("key"))
-    words = written(w.join(keys, "key").groupBy("key").agg(F.count("*").alias("words")), "words")
+    w = w.where(~F.col("word").rlike("[0-9]")).select(F.explode(F.array(F.concat(F.lit("< "), at(-2), F.lit(" "), at(-1)), F.concat(F.lit("| "), at(-1), F.lit(" "), at(1)))).alias("key"), "word")
+    words = written(w.join(keys, "key").groupBy("key").agg(F.count_distinct("word").alias("words")), "words")
     edges = edges.withColumn("same", F.col("own") == F.col("kind"))
     score = None
     for _ in range(ROUNDS):

@@ -73,3 +73,11 @@ def test_redact(spark):
     odd = docs.withColumnRenamed("lang", "kept.lang").withColumn("row", docs["doc_id"]).withColumn("spans", docs["text"])
     assert redact(odd).columns == odd.columns and redact(odd).count() == 3
     assert sorted(map(tuple, out.collect()), key=str) == [(1, "to <EMAIL>, <IP>", "en"), (2, None, None), (3, "none", "de")]
+
+
+def test_copies_of_a_text_count_once(spark):
+    seeds = [f"please dial number +1 (555) 010-{k:04d} today {k}" for k in range(12)]
+    rows = [*seeds, "please dial number 555 010-7777 today again", *["please dial number again today"] * 200]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in detect(docs).select("doc_id", joined("spans")).collect()}
+    assert got[12] == "phone:19:31"
