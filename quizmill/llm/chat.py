@@ -1,10 +1,9 @@
 """Conversations as training examples: each assistant turn with all turns before it as context, and only that reply trainable.
 
 A turn is `<|im_start|>role` newline text `<|im_end|>` newline. Inside roles and texts every `<`, backslashes, `|` gets one
-more backslash, so no control string stands in them, and taking one away restores them. Examples repeat their context in full as
-long as the conversation so far has at most MAX_PREFIX characters; from there on each turn is a row of its own whose context is
-all earlier rows of the conversation (`refers`). So the output stays linear in the input for conversations of any length, nothing is cut, and
-a task holds MAX_PREFIX characters and a turn.
+more backslash, so no control string stands in them, and taking one away restores them. Every example repeats its context in full, so
+the output grows with the square of a conversation's length, and a task holds a conversation. A caller may set a limit instead: once a
+conversation has more characters, each turn is a row of its own whose context is all earlier rows of it (`refers`); `rebuilt` makes full examples of these.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from .stage import table, written
 
 #: Fixed values of the template.
 START, STOP = "<|im_start|>", "<|im_end|>\n"
-MAX_PREFIX = 1 << 16
 
 _IN, _OUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -60,7 +58,7 @@ def parse(text: str) -> list[tuple[str, str]]:
 class Expander:
     """Rows of one conversation, turn by turn."""
 
-    def __init__(self, conv: int | None, limit: int):
+    def __init__(self, conv: int | None, limit: int | None = None):
         self.conv, self.limit, self.example, self.prefix, self.pending, self.refers = conv, limit, 0, "", False, False
 
     def _row(self, text: str, span: tuple[int, int] | None) -> tuple:
@@ -69,7 +67,7 @@ class Expander:
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
         turn, a, b = turn_text(role, text)
-        if not self.refers and len(self.prefix) + len(turn) > self.limit:
+        if self.limit is not None and not self.refers and len(self.prefix) + len(turn) > self.limit:
             if self.pending:
                 yield from self.end()
             self.refers, self.prefix = True, ""
@@ -99,7 +97,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
 
-def expand(turns: DataFrame, limit: int = MAX_PREFIX) -> DataFrame:
+def expand(turns: DataFrame, limit: int | None = None) -> DataFrame:
     """(conv_id, example, refers, text, loss_from, loss_to) of conversations(conv_id, turn, role, text).
 
     Turns are taken by turn, then role and text (null first); repeated rows stay. Null roles and texts are empty, null conversation ids are a
@@ -129,6 +127,38 @@ def expand(turns: DataFrame, limit: int = MAX_PREFIX) -> DataFrame:
     return order.select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
 
 
+def rebuilt(examples: DataFrame) -> DataFrame:
+    """Rows of `expand` without a limit, from rows of it with one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Expander | None = None
+        full = ""
+
+        def turns(text: str) -> Iterator[pa.RecordBatch]:
+            for turn in parse(text):
+                for row in now.add(*turn):
+                    yield _batch([row])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if now:
+                yield from turns(full)
+                yield _batch(list(now.end()))
+
+        for b in batches:
+            for conv, refers, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if now is None or now.conv != conv:
+                    yield from close()
+                    now, full = Expander(conv), ""
+                if refers:
+                    yield from turns(full)
+                    yield from turns(text)
+                full = "" if refers else text
+        yield from close()
+
+    order = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return order.select("conv_id", "refers", "text").mapInArrow(run, SCHEMA)
+
+
 class Reader:
     """Digests of one conversation from its rows in order; holds the longest full example only."""
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quizmill.llm.chat import HARD, Expander, expand, op8_chat_format, parse, summaries, turn_text
+from quizmill.llm.chat import HARD, Expander, expand, op8_chat_format, parse, rebuilt, summaries, turn_text
 
 TEXT = st.text(st.sampled_from("<|\\>im_startend\n a"), max_size=30)
 
@@ -46,3 +46,13 @@ def test_each_reply_has_its_own_example():
     rows = [r for role, text in [("user", "q"), ("assistant", "a"), ("user", "r"), ("assistant", "b")] for r in e.add(role, text)]
     assert [parse(r[3]) for r in rows] == [[("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "a"), ("user", "r"), ("assistant", "b")]]
     assert [r[3][r[4] : r[5]] for r in rows] == ["a", "b"]
+
+
+def test_examples_of_long_conversations_are_whole(spark):
+    rows = [(1, 0, "user", "long " * 14000), (1, 1, "assistant", "y"), (1, 2, "user", "tail"), *((2, k, ("user", "assistant")[k % 2], f"turn {k} " * 60) for k in range(200))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = expand(turns).orderBy("conv_id", "example").collect()
+    assert [parse(r["text"]) for r in out[:2]] == [[(x[2], x[3]) for x in rows[:2]], [(x[2], x[3]) for x in rows[:3]]]
+    assert [parse(r["text"]) for r in out[2:]] == [[(x[2], x[3]) for x in rows[3 : 5 + 2 * k]] for k in range(100)]
+    short = expand(turns, 300)
+    assert short.where("refers").count() and sorted(map(tuple, rebuilt(short).collect()), key=str) == sorted(map(tuple, out), key=str)
