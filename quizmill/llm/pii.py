@@ -24,7 +24,7 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: What a text must contain for a pattern to be tried at all.
-HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+HINT = {"email": "@", "ip": ".", "phone": "+"}
 #: Candidates: what people also write for these kinds.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*+",
@@ -32,6 +32,8 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z.+-])(?:\(?[0-9]{2,4}\)?[ .-])?[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])",
 }
+#: What every match of a loose pattern has in it.
+LOOSE_HINT = {"email": r"@|[(\[]at[)\]]", "ip": ":", "card": "[0-9]{3}", "phone": "[0-9]{3}"}
 #: Distinct seeds that a pattern needs; score from which a candidate is added; rounds of scoring.
 SUPPORT, ACCEPT, ROUNDS = 3, 0.8, 5
 BROADCAST_ROWS, AROUND = 100_000, 64
@@ -69,13 +71,13 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, patterns: dict[str, str], hints: dict[str, str], checked: bool) -> Column:
-    """array<struct<start, kind (its place in KINDS), end, value>>, unsorted."""
+def spans_of(text: Column, patterns: dict[str, str], hints: dict[str, Column], checked: bool) -> Column:
+    """array<struct<start, kind (its place in KINDS), end, value>>, unsorted. hints: which texts a kind's pattern is tried on, if not all."""
     each = []
     for k, kind in enumerate(KINDS):
         spans = found(text, patterns[kind])
-        if hints[kind]:
-            spans = F.when(F.contains(text, F.lit(hints[kind])), spans).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
+        if kind in hints:
+            spans = F.when(hints[kind], spans).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
         if checked:
             spans = F.filter(spans, lambda s: valid(kind, s["value"]))  # noqa: B023  called at once
         each.append(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))  # noqa: B023
@@ -105,10 +107,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")).alias("kept"))
     rows = rows.withColumn("text", text)
-    seen = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "kept", "text", spans_of(F.col("text"), BASE, HINT, True).alias("base"))
-    digits = F.col("text").rlike("[0-9]{3}|@|[(\\[]at[)\\]]")
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
-    loose = F.when(digits, spans_of(F.col("text"), LOOSE, dict.fromkeys(KINDS, ""), False)).otherwise(none)
+    seen = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "kept", "text", spans_of(F.col("text"), BASE, {k: F.contains("text", F.lit(h)) for k, h in HINT.items()}, True).alias("base"))
+    loose = spans_of(F.col("text"), LOOSE, {k: F.col("text").rlike(h) for k, h in LOOSE_HINT.items()}, False)
     apart = F.filter(loose, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     seen = seen.withColumn("more", apart)
     with_context = lambda name: F.transform(name, lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"], _contexts(F.col("text"), s).alias("keys")))

@@ -81,3 +81,11 @@ def test_copies_of_a_text_count_once(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r[0]: r[1] for r in detect(docs).select("doc_id", joined("spans")).collect()}
     assert got[12] == "phone:19:31"
+
+
+def test_addresses_without_three_digits_in_a_row(spark):
+    seeds = [f"the host at 10.0.{k}.7 went down" for k in range(12)]
+    rows = [*seeds, "the host at fe80::a1b:2c:3d went down"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r[0]: r[1] for r in detect(docs).select("doc_id", joined("spans")).collect()}
+    assert got[12] == "ip:12:27" and rows[12][12:27] == "fe80::a1b:2c:3d"
