@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .stage import sliced, table, unique_ids, unwrapped, whole, written
+from .stage import released, sliced, table, unique_ids, unwrapped, whole, with_broadcast_if, written
 
 #: Fingerprints of a tile at most, about. A task holds two tiles and CHUNK distances.
 TILE, CHUNK = 16384, 2_000_000
@@ -244,8 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected(links.select(F.col("a")[0].alias("a"), F.col("b")[0].alias("b")), "a", "b")
     nodes = distinct.select(F.col("fp")[0].alias("word"), "least").join(roots.withColumnRenamed("node", "word"), "word", "left")
     nodes = nodes.select("word", "least", F.coalesce("root", "word").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("word", "component_id")
+    # tables, not aggregates under the joins: so Catalyst can split a component or a fingerprint that many share
+    nodes = written(nodes, "nodes")
+    least = written(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = written(nodes.join(least, "root").select("word", "component_id"), "named")
     out = prints.select("doc_id", F.col("fp")[0].alias("word")).join(named, "word")
     return out.select("doc_id", F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -256,6 +258,8 @@ SKETCH_LIMITS = (20, 34, 46, 57)
 SIZE, SIMILARITY = 5, 0.8
 #: What a block of documents weighs at most, about, when all their candidate pairs are tested: its shingles, and NODE a document.
 BLOCK, NODE = 500_000, 256
+#: Links of one row that a task tests, about; row numbers that may be broadcast (some tens of MB).
+DEGREE, BROADCAST_ROWS = 256, 1_000_000
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -313,6 +317,16 @@ def true_links(prints: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, f
     return out
 
 
+def with_sets(links: DataFrame, sets: DataFrame, end: str, other: str, name: str) -> DataFrame:
+    """links with the shingles of one end as a column. A row with many links is dealt to several tasks, and its set goes to each of them."""
+    parts = links.groupBy(end).agg(F.ceil(F.count("*") / DEGREE).cast("int").alias("parts")).where("parts > 1")
+    parts = with_broadcast_if(written(parts, "degrees"), BROADCAST_ROWS)
+    deal = F.coalesce("parts", F.lit(1))
+    dealt = links.join(parts, end, "left").withColumn("part", F.pmod(F.xxhash64(other), deal).cast("int")).drop("parts")
+    each = sets.withColumnRenamed("row", end).join(parts, end, "left").select(end, F.explode(F.sequence(F.lit(0), deal - 1)).alias("part"), F.col("shingles").alias(name))
+    return dealt.join(each, [end, "part"]).drop("part")
+
+
 def links_within(nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): labels that a true link joins, of nodes(comp, label, row, fp, shingles). All candidate pairs of a comp are tested whose labels differ.
 
@@ -360,9 +374,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = links.join(stand.select(F.col("fp").alias("a"), F.col("row").alias("row_a")), "a").join(stand.select(F.col("fp").alias("b"), F.col("row").alias("row_b")), "b")
     alike = distinct.join(stand.withColumnRenamed("row", "row_a"), "fp").where("row <> row_a").select("row_a", F.col("row").alias("row_b"))
     links = written(links.select("row_a", "row_b").unionByName(alike).distinct(), "candidates")
-    held = links.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
-    sets = written(shingle_sets(texts.join(held, "row", "left_semi"), size), "shingles")
-    both = links.join(sets.select(F.col("row").alias("row_a"), F.col("shingles").alias("x")), "row_a").join(sets.select(F.col("row").alias("row_b"), F.col("shingles").alias("y")), "row_b")
+    held = written(links.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct(), "held")
+    released(docs.sparkSession)
+    sets = written(shingle_sets(texts.join(with_broadcast_if(held, BROADCAST_ROWS), "row", "left_semi"), size), "shingles")
+    both = with_sets(with_sets(links, sets, "row_a", "row_b", "x"), sets, "row_b", "row_a", "y")
     shared = F.size(F.array_intersect("x", "y"))
     tested = written(both.select("row_a", "row_b", (shared >= similarity * (F.size("x") + F.size("y") - shared)).alias("linked")), "tested")
     roots = connected(tested.where("linked"), "row_a", "row_b").withColumnRenamed("node", "row")
@@ -374,7 +389,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more = connected(links_within(nodes.join(comps, "label").join(sets, "row").select("comp", "label", "row", "fp", "shingles"), similarity), "a", "b")
     groups = nodes.join(more.select(F.col("node").alias("label"), F.col("root").alias("top")), "label", "left")
     stay = groups.groupBy(F.coalesce("top", "label").alias("group")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
-    return unwrapped(rows.join(stay, "row", "left_semi"), "kept", docs.columns)
+    # ids of the rows that go, not of those that stay: mostly few enough to spare the texts a shuffle
+    gone = written(prints.select("row").join(stay, "row", "left_anti"), "gone")
+    released(docs.sparkSession)
+    return unwrapped(rows.join(with_broadcast_if(gone, BROADCAST_ROWS), "row", "left_anti"), "kept", docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

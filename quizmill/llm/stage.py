@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-__all__ = ["discard", "shared_dir", "sliced", "small_enough", "table", "tables_written", "unique_ids", "unwrapped", "whole", "with_broadcast_if", "written"]
+__all__ = ["discard", "released", "shared_dir", "sliced", "small_enough", "table", "tables_written", "unique_ids", "unwrapped", "whole", "with_broadcast_if", "written"]
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -44,6 +45,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files and broadcasts of plans that have run and that nothing refers to any more.
+
+    It learns of them when the driver collects garbage, which a driver with enough memory may not do for many stages.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_enough(df: DataFrame, limit_rows: int) -> bool:
     """Whether df has at most limit_rows rows; reads no more than it needs to tell."""
     return df.limit(limit_rows + 1).count() <= limit_rows
