@@ -10,7 +10,7 @@ from quizmill.llm.packing import pack
 from quizmill.llm.pii import redact
 from quizmill.llm.quality import accepted
 from quizmill.llm.simhash import one_of_each_group
-from quizmill.llm.stage import discard, table, tables_written, written
+from quizmill.llm.stage import discard, released, table, tables_written, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,4 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         since = tables_written()
         docs = written(stage(spark, docs, sf_dir), name)
         discard(spark, since, docs)  # what the stage wrote on its way
+        released(spark)  # and its shuffle files
     return docs
