@@ -89,3 +89,26 @@ def test_addresses_without_three_digits_in_a_row(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r[0]: r[1] for r in detect(docs).select("doc_id", joined("spans")).collect()}
     assert got[12] == "ip:12:27" and rows[12][12:27] == "fe80::a1b:2c:3d"
+
+
+def test_long_words_in_a_context_count_like_short_ones(spark):
+    for words in ("please call", "p" * 40 + " " + "c" * 40, "p" * 700 + " " + "c" * 700):
+        seeds = [f"{words} +1 (555) 010-{k:04d} today {k}" for k in range(12)]
+        rows = [*seeds, f"{words} 555 010-7777 today again", *[f"{words} word{chr(97 + k % 26)}{chr(97 + k // 26)} today" for k in range(200)]]
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = {r[0]: r[1] for r in detect(docs).select("doc_id", joined("spans")).collect()}
+        assert got[12] == "" and all(got[k] for k in range(12))
+
+
+def test_texts_with_very_many_matches(spark):
+    some = [f"x{k}@mail{k % 7}.example" for k in range(20_000)]
+    text = " and é ".join(some) + " 1.2.3.4, end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert detect(docs).select(joined("base")).first()[0] == brute(text)
+    assert redact(docs).first()["text"] == " and é ".join(["<EMAIL>"] * 20_000) + " <IP>, end"
+
+
+def test_overlapping_spans_give_way_to_the_first(spark):
+    docs = spark.createDataFrame([(1, "a 5555555555554444@x.yz b"), (2, "+5555555555554444 or +44 5555555555554444"), (3, "1.2.3.4@x.yz")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert out[1] == "a <EMAIL> b" and out[3] == "<EMAIL>"
