@@ -4,10 +4,11 @@
    have equal anchors at the same place. Neighbouring strings share anchors: about one position in 35 is one.
 2. Whole copies of an earlier text go at once. Of the rest only anchors that occur again can be in a repeat. They get their context: the bytes of all strings that chose them. Occurrences
    of one gram meet in a shard; of equal contexts all but the first are removed whole.
-   A task sends each different context on once, so a gram in very many documents isn't very many rows.
+   Of equal contexts in a slice of a task's rows only the first is sent on, so a gram in very many documents isn't very many rows.
 3. The different contexts of a gram go into a shard's text. Its suffix array is built by induced sorting, permuted common prefixes
    show which strings of LENGTH bytes are equal, and all but the first of these are removed.
-A gram with more than HOT different contexts would outgrow a shard: its strings are grouped by their bytes in a shuffle instead, with the same result.
+A gram that occurs more than HOT times is dealt to several shards. Each removes what repeats within it, in the same way; the strings that are left of
+such a gram, the first of their kind in their shards, then meet those of its other shards by their bytes.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import sliced, table, with_broadcast_if, written
+from .stage import released, sliced, table, with_broadcast_if, written
 
 LENGTH, GRAM = 100, 32
-#: Bytes of a long text that are hashed at once; bytes of contexts that make a shard's text; different contexts of a gram that one shard takes.
+#: Bytes of a long text that are hashed at once; bytes of contexts that make a shard's text; occurrences of a gram that one shard takes, about.
 CHUNK, SHARD, HOT = 1 << 19, 1 << 20, 20_000
-#: So many row numbers may be broadcast (some tens of MB).
-BROADCAST_ROWS, END = 1_000_000, 1 << 62
+#: So many row numbers, and digests or rows with their spans, may be broadcast (some tens of MB).
+BROADCAST_ROWS, BROADCAST_KEYS, END = 1_000_000, 200_000, 1 << 62
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TAIL = np.uint64((1 << 20) - 1)
 
@@ -238,44 +239,35 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ShardFinder:
-    """Reads contexts sorted by gram, digest, row and start; yields (row, a, b, string): a span to remove, or (string not null) a string to group."""
+    """Reads contexts sorted by gram, salt, digest, row and start; yields (row, a, b, string): a span to remove, or (string not null) one to compare with other shards'."""
 
     def __init__(self):
-        self.gram = self.last = None
+        self.key = self.last = None
         self.pool: list[tuple[bytes, int, int]] = []  # for the next shard: grams with several contexts
         self.held: list[tuple[bytes, int, int]] = []  # different contexts of the present gram
-        self.bytes, self.hot = 0, False
+        self.bytes, self.dealt = 0, False
         self.out: list[tuple[int, int, int, bytes | None]] = []
 
-    def _strings(self, item: tuple[bytes, int, int]) -> None:
-        context, row, start = item
-        self.out += [(row, start + k, start + k + LENGTH, context[k : k + LENGTH]) for k in range(len(context) - LENGTH + 1)]
-
-    def add(self, gram: int, context: bytes, row: int, start: int) -> None:
-        if gram != self.gram:
+    def add(self, gram: int, salt: int, context: bytes, row: int, start: int, dealt: bool) -> None:
+        if (gram, salt) != self.key:
             self.end_gram()
-            self.gram, self.last = gram, None
+            self.key, self.last, self.dealt = (gram, salt), None, dealt
         if context == self.last:
             self.out.append((row, start, start + len(context), None))
             return
         self.last = context
-        item = (context, row, start)
-        if self.hot:
-            self._strings(item)
-            return
-        self.held.append(item)
-        if len(self.held) > HOT:
-            self.hot = True
-            for x in self.held:
-                self._strings(x)
-            self.held = []
+        self.held.append((context, row, start))
 
     def end_gram(self) -> None:
-        if len(self.held) > 1 or self.held and len(self.held[0][0]) > LENGTH:  # one context may repeat itself
+        if self.dealt:
+            gone = self._shard(self.held)
+            for context, row, start in self.held:
+                self.out += [(row, start + k, start + k + LENGTH, context[k : k + LENGTH]) for k in range(len(context) - LENGTH + 1) if (row, start + k) not in gone]
+        elif len(self.held) > 1 or self.held and len(self.held[0][0]) > LENGTH:  # one context may repeat itself
             if len(self.held) > 1 or self._periodic(self.held[0][0]):
                 self.pool += self.held
                 self.bytes += sum(len(x[0]) for x in self.held)
-        self.held, self.hot = [], False
+        self.held, self.dealt = [], False
         if self.bytes >= SHARD:
             self.end_shard()
 
@@ -284,16 +276,22 @@ class ShardFinder:
         strings = {context[k : k + LENGTH] for k in range(len(context) - LENGTH + 1)}
         return len(strings) <= len(context) - LENGTH
 
+    def _shard(self, items: list[tuple[bytes, int, int]]) -> set[tuple[int, int]]:
+        """Spans of what repeats within the items, and the (row, start) of each such string."""
+        if not items:
+            return set()
+        contexts, rows, starts = (list(c) for c in zip(*items, strict=True))
+        row, start = repeated_strings(contexts, np.array(rows), np.array(starts))
+        order = np.lexsort((start, row))
+        row, start = row[order], start[order]
+        for k in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1):
+            if len(k):
+                a, b = merged(start[k], start[k] + LENGTH)
+                self.out += [(int(row[k[0]]), x, y, None) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        return set(zip(row.tolist(), start.tolist(), strict=True)) if self.dealt else set()
+
     def end_shard(self) -> None:
-        if self.pool:
-            contexts, rows, starts = (list(c) for c in zip(*self.pool, strict=True))
-            row, start = repeated_strings(contexts, np.array(rows), np.array(starts))
-            order = np.lexsort((start, row))
-            row, start = row[order], start[order]
-            for k in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1):
-                if len(k):
-                    a, b = merged(start[k], start[k] + LENGTH)
-                    self.out += [(int(row[k[0]]), x, y, None) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        self._shard(self.pool)
         self.pool, self.bytes = [], 0
 
     def drain(self) -> pa.RecordBatch:
@@ -316,12 +314,13 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def whole_copies(rows: DataFrame) -> DataFrame:
     """The written (row) of rows(row, text) whose whole text stands in an earlier row: nothing of theirs needs a search."""
     keyed = rows.select("row", F.md5(F.col("text").cast("binary")).alias("key"))
-    least = keyed.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    return written(keyed.join(least, "key").where("row <> least").select("row"), "copies")
+    # a table, not an aggregate under the join: so Catalyst can split a text that very many rows have
+    least = written(keyed.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "firsts")
+    return written(keyed.join(with_broadcast_if(least, BROADCAST_KEYS), "key").where("row <> least").select("row"), "copies")
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(row, spans): spans array<struct<a, b>>, unmerged, of the bytes to remove (b may be past the end); rows without any are left out."""
+def repeated_spans(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(row, spans): spans array<struct<a, b>>, unmerged, of the bytes to remove from rows that aren't whole copies; rows without any are left out."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -332,12 +331,13 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(first << 8 | (last - first))], ["row", "gram", "range"])
 
     long = rows.select("row", "text").where(F.octet_length("text") >= LENGTH)
-    copies = whole_copies(long)
     rest = long.join(with_broadcast_if(copies, BROADCAST_ROWS), "row", "left_anti")
     every = rest.mapInArrow(find, "row long, gram long, range long")  # hashed twice: cheaper than a table of all anchors
     # a table, not an aggregate under the join: so Catalyst can split a gram that is in very many documents
-    again = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    ranges = every.join(again, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "range")).alias("held"))
+    counts = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    again = written(counts.select("gram", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "grams")
+    released(rows.sparkSession)
+    ranges = every.join(again, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "range", "parts")).alias("held"))
     around = rows.select("row", "text").join(ranges, "row").select("row", "text", "held")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +345,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             texts = b.column(1).cast(pa.large_binary())
             counts = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
             held = b.column(2).flatten()
-            grams, ranges = (held.field(k).to_numpy(zero_copy_only=False).copy() for k in (0, 1))
+            grams, ranges, parts = (held.field(k).to_numpy(zero_copy_only=False).copy() for k in (0, 1, 2))
             first, size = ranges >> 8, (ranges & 255) + LENGTH
             contexts, at = [], 0
             for k, n in enumerate(counts.tolist()):
@@ -354,44 +354,50 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                 at += n
             digests = np.array([xxhash.xxh64_intdigest(c) for c in contexts], np.uint64).view(np.int64)
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts)
+            salts = (((ids + first * 31).view(np.uint64) * _BASE >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int32)
             for k in _later_copies(contexts, grams, digests, ids, first):
                 # its strings are in the batch's first such context: a span to remove, dealt by row, with its length for a digest
                 grams[k], digests[k], contexts[k] = ids[k], size[k], None
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(digests), pa.array(ids), pa.array(first), pa.array(contexts, pa.binary())], ["gram", "digest", "row", "start", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(digests), pa.array(ids), pa.array(first), pa.array(contexts, pa.binary()), pa.array(salts), pa.array(parts > 1)], ["gram", "digest", "row", "start", "context", "salt", "dealt"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = ShardFinder()
         for b in batches:
-            for gram, context, row, start, digest in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for gram, salt, context, row, start, digest, dealt in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
                 if context is None:
                     finder.out.append((row, start, start + digest, None))
                 else:
-                    finder.add(gram, context, row, start)
+                    finder.add(gram, salt, context, row, start, dealt)
             if len(finder.out) > 10_000:
                 yield finder.drain()
         finder.end_gram()
         finder.end_shard()
         yield finder.drain()
 
-    contexts = around.mapInArrow(cut, "gram long, digest long, row long, start long, context binary")
-    shards = contexts.repartition("gram").sortWithinPartitions("gram", "digest", "context", "row", "start")
-    spans = written(shards.select("gram", "context", "row", "start", "digest").mapInArrow(search, "row long, a long, b long, string binary"), "spans")
+    contexts = around.mapInArrow(cut, "gram long, digest long, row long, start long, context binary, salt int, dealt boolean")
+    shards = contexts.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "digest", "context", "row", "start")
+    spans = written(shards.select("gram", "salt", "context", "row", "start", "digest", "dealt").mapInArrow(search, "row long, a long, b long, string binary"), "spans")
+    released(rows.sparkSession)
     strings = spans.where("string is not null")
-    least = strings.groupBy("string").agg(F.min(F.struct("row", "a")).alias("least"))
-    later = strings.join(least, "string").where(F.struct("row", "a") != F.col("least"))
+    least = strings.groupBy("string").agg(F.min(F.struct("row", "a")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = written(least, "strings")  # a table, as above
+    later = strings.join(with_broadcast_if(least, BROADCAST_KEYS), "string").where(F.struct("row", "a") != F.col("least"))
     both = spans.where("string is null").select("row", "a", "b").unionByName(later.select("row", "a", "b"))
-    both = both.unionByName(copies.select("row", F.lit(0).cast("long").alias("a"), F.lit(END).alias("b")))
-    return both.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return written(both.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "rows-of-spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): every row, without the bytes covered by a string of LENGTH bytes that also starts earlier.
+    """(doc_id, n_bytes, n_removed, n_spans, kept): every row, without the bytes covered by a string of LENGTH bytes that also starts earlier. Texts may be of any length.
 
     Earlier: at a smaller doc_id, or in the same row before. Null ids come first; rows of equal id go by a hash of their texts, equal rows in
     any order. Null texts are empty; texts under LENGTH bytes lose nothing. Columns not named are ignored. No rows: no rows.
     """
     rows = _numbered(docs, id_col, text_col)
-    out = rows.join(repeated_spans(rows), "row", "left").select("doc_id", "text", "spans")
+    copies = whole_copies(rows.where(F.octet_length("text") >= LENGTH))
+    held = with_broadcast_if(copies, BROADCAST_ROWS)
+    spans = with_broadcast_if(repeated_spans(rows, copies), BROADCAST_KEYS)
+    released(docs.sparkSession)
+    out = rows.join(held, "row", "left_anti").join(spans, "row", "left").select("doc_id", "text", "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -408,7 +414,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = list(zip(*made, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return out.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = out.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    # copies go whole: nothing of their texts is read but the length
+    n = F.octet_length("text").cast("long")
+    gone = rows.join(held, "row", "left_semi").select("doc_id", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    return kept.unionByName(gone)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
