@@ -1,3 +1,5 @@
+from functools import cache
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,33 @@ from quizmill.llm.tokens import END, default_path, encoder
 @given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from([" ", "  ", "\n", " \n ", "\t", "don't", "'ll", "<|endoftext|>", "été", "漢字", "a" * 300, "123456", "!!!", " ", "\x1c", "🙂"])), max_size=12).map("".join))
 def test_both_encoders_agree(text):
     e = encoder(default_path())
-    assert np.array_equal(e.fast.encode_to_numpy(text, disallowed_special=()), e._slow(text))
+    assert np.array_equal(e.batch(["", text])[1][:-1], library().encode(text, add_special_tokens=False).ids)
+
+
+@cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(default_path())
+
+
+def test_both_split_alike_at_every_character():
+    """Where words end depends on the class of each character alone: every one in front of, between and behind letters, digits, marks and spaces."""
+    e, differ = encoder(default_path()), []
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4000):
+        some = points[at : at + 4000]
+        text = "".join(f"a{c}1{c}!{c} {c}{c}a" for c in map(chr, some))
+        if not np.array_equal(e.fast.encode_to_numpy(text, disallowed_special=()), library().encode(text, add_special_tokens=False).ids):
+            differ += [c for c in some if e.fast.encode(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}{chr(c)}a", disallowed_special=()) != library().encode(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}{chr(c)}a", add_special_tokens=False).ids]
+    assert differ == []
+
+
+def test_an_added_token_has_its_own_id():
+    e = encoder(default_path())
+    for text in ("hello <|endoftext|> x", "<|endoftext|>", "é<|endoftext|><|endoftext|>"):
+        assert e.batch(["", text])[1].tolist() == [*library().encode(text, add_special_tokens=False).ids, END]
+    assert 50256 in e.batch(["", "hello <|endoftext|> x"])[1]
 
 
 def test_a_difference_turns_to_the_library(monkeypatch):
