@@ -1,8 +1,8 @@
 """Quality scores: ridge regression on random Fourier features of document statistics, then isotonic calibration.
 
 The random features approximate a Gaussian kernel over standardised statistics of the whole text. Each partition of labelled rows
-sums its part of the normal equations; the sums are added up in two steps, so the driver gets a few matrices of fixed size.
-The calibration is fitted on counts in fixed bins of the raw score. All labelled rows count: there is no sample.
+sums its part of the normal equations, apart for each fold; the sums are added up in steps, so no task and not the driver gets more than some matrices of fixed size.
+The calibration is fitted on counts in fixed bins of raw scores that come from the equations of the other folds. All labelled rows count: there is no sample.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .stage import sliced, table, unique_ids, unwrapped, whole, with_broadcast_i
 #: Random features, kernel width in standard deviations per square root of a statistic, ridge penalty per row, bins of the calibration.
 FEATURES, WIDTH, PENALTY, BINS, SEED = 256, 1.5, 1e-4, 1000, 7
 LOW, HIGH = -0.5, 1.5
+#: Folds of the calibration; tasks of the last step that adds up matrices (the step before has as many as a shuffle).
+FOLDS, LAST = 2, 8
 #: So many ids of rejected rows may be broadcast (some tens of MB); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 MARKS = b"!*#$%&|.,=:"
@@ -132,7 +134,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """The model of labelled(x, y); None if there are no rows."""
+    """The model of labelled(x, y, fold); None if there are no rows. fold: 0 to FOLDS - 1; rows of a fold are calibrated by the model of the others."""
     moments = labelled.agg(F.count("*").alias("n"), *[f(F.col("x")[k]).alias(f"{name}{k}") for name, f in (("m", F.avg), ("s", F.stddev_pop)) for k in range(N_STATISTICS)]).first()
     if not moments["n"]:
         return None
@@ -140,33 +142,45 @@ def fit(labelled: DataFrame) -> Model | None:
     size = FEATURES + N_STATISTICS + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((FOLDS, size, size + 1))
         for b in batches:
-            if len(b):
-                z = phi(_features(b.column(0)))
-                total += z.T @ np.column_stack([z, b.column(1).to_numpy(zero_copy_only=False)])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+            x, y, fold = _features(b.column(0)), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            for k in range(FOLDS):
+                if (fold == k).any():
+                    z = phi(x[fold == k])
+                    total[k] += z.T @ np.column_stack([z, y[fold == k]])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * (size + 1))
+        total = None
         for b in batches:
             for part in b.column(0):
-                total += np.frombuffer(part.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
-
-    parts = labelled.select("x", F.col("y").cast("double").alias("y")).mapInArrow(partial, "part binary")
-    parts = parts.repartition(8).mapInArrow(added, "part binary").collect()  # 8 matrices
-    total = sum(np.frombuffer(r["part"]).reshape(size, size + 1) for r in parts)
-    weights = np.linalg.solve(total[:, :size] + PENALTY * moments["n"] * np.eye(size), total[:, size])
-    model = Model(phi, weights)
+                total = np.frombuffer(part.as_py()) + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    parts = labelled.select("x", F.col("y").cast("double").alias("y"), "fold").mapInArrow(partial, "part binary").withColumn("lane", F.spark_partition_id())
+    # by a column, so that Catalyst takes as few tasks as the matrices need
+    parts = parts.repartition("lane").select("part").mapInArrow(added, "part binary")
+    parts = parts.repartition(LAST).mapInArrow(added, "part binary").collect()  # LAST rows
+    total = sum(np.frombuffer(r["part"]).reshape(FOLDS, size, size + 1) for r in parts)
+    rows = lambda t: max(1.0, t[size - 1, size - 1])  # the constant's square, summed
+    ridge = lambda t: np.linalg.solve(t[:, :size] + PENALTY * rows(t) * np.eye(size), t[:, size])
+    model = Model(phi, ridge(total.sum(axis=0)))
+    others = [Model(phi, ridge(total.sum(axis=0) - total[k])) for k in range(FOLDS)]
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = model.raw(_features(b.column(0)))
+            x, fold = _features(b.column(0)), b.column(2).to_numpy(zero_copy_only=False)
+            raw = np.zeros(len(x))
+            for k in range(FOLDS):
+                if (fold == k).any():
+                    raw[fold == k] = others[k].raw(x[fold == k])
             at = np.clip((raw - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1)], ["bin", "y"])
 
-    bins = labelled.select("x", F.col("y").cast("long").alias("y")).mapInArrow(binned, "bin int, y long").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    bins = labelled.select("x", F.col("y").cast("long").alias("y"), "fold").mapInArrow(binned, "bin int, y long").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
     total, ones = np.zeros(BINS), np.zeros(BINS)
     for r in bins.collect():  # BINS rows at most
         total[r["bin"]], ones[r["bin"]] = r["n"], r["y"]
@@ -178,7 +192,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(doc_id, held_out, score, predicted) for every row of docs; score is the calibrated chance of label 1.
 
     Learns from the labels of rows whose crc32 of the id as text isn't divisible by 5. Null and empty texts are scored from zero
-    statistics. Null labels and ids teach nothing; repeated ids give a row each. Without labels every score is 0.5. Columns not named are
+    statistics, texts of any length from those of all their bytes. Null labels and ids teach nothing; repeated ids give a row each. Without labels every score is 0.5. Columns not named are
     ignored. No documents: no rows.
     """
     stats, model = _fitted(docs.select(id_col, text_col), labels, id_col, text_col, label_col)
@@ -188,7 +202,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns.
 
-    Where ids are unique, only those of rejected rows meet the rows again; else the rows go through the scoring themselves.
+    Null, empty and very long texts are scored like any other; rows that are equal but for their ids stay or go together, repeated and null ids
+    are kept apart as rows. Without labels all stay that 0.5 lets stay. No documents: no rows. Where ids are unique, only those of rejected rows meet the rows again; else the rows go through the scoring themselves.
     """
     if unique_ids(docs, id_col):
         scored = score_quality(docs, labels, id_col, text_col, label_col, threshold)
@@ -205,7 +220,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, Model | None]:
     stats = written(document_statistics(docs, id_col, text_col), "statistics").withColumn("held_out", held_out(F.col("doc_id")))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null")
-    return stats, fit(written(stats.where(~F.col("held_out")).select("doc_id", "x").join(known, "doc_id").select("x", "y"), "labelled"))
+    return stats, fit(written(stats.where(~F.col("held_out")).select("doc_id", "x").join(known, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled"))
 
 
 def _scored(stats: DataFrame, model: Model | None, threshold: float) -> DataFrame:

@@ -66,3 +66,46 @@ def test_statistics_use_the_whole_text():
 @pytest.mark.parametrize("text", ["", None])
 def test_empty(text):
     assert statistics(text) == [0.0] * N_STATISTICS
+
+
+def brute(rows):
+    """Features and normal equations of (doc_id, text, label or None) by plain numpy, all rows at once."""
+    from quizmill.llm.quality import HIGH, LOW, PENALTY
+
+    x = np.array([statistics(t) for _, t, _ in rows], np.float32).astype(float)
+    learn = np.array([y is not None and zlib.crc32(str(d).encode()) % 5 != 0 for d, _, y in rows])
+    y = np.array([y or 0 for _, _, y in rows], float)
+    phi = RandomFeatures(x[learn].mean(axis=0), x[learn].std(axis=0))
+    z = phi(x)
+    solve = lambda pick: np.linalg.solve(z[pick].T @ z[pick] + PENALTY * pick.sum() * np.eye(z.shape[1]), z[pick].T @ y[pick])
+    return z, y, learn, solve, LOW, HIGH
+
+
+def test_scores_against_plain_numpy(spark):
+    from pyspark.sql import functions as F
+
+    from quizmill.llm.quality import FOLDS
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(r["doc_id"], r["text"], known.get(r["doc_id"])) for r in docs.collect()]
+    folds = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))).collect()}
+    z, y, learn, solve, low, high = brute(rows)
+    raw = z @ solve(learn)
+    fold = np.array([folds[d] for d, _, _ in rows])
+    apart = np.zeros(len(rows))
+    for k in range(FOLDS):
+        apart[fold == k] = (z @ solve(learn & (fold != k)))[fold == k]
+    at = np.clip((apart[learn] - low) / (high - low) * BINS, 0, BINS - 1).astype(int)
+    # isotonic means as the largest of the least means over all spans of bins that hold a bin
+    n, ones = np.bincount(at, minlength=BINS), np.bincount(at, y[learn], BINS)
+    used = np.flatnonzero(n)
+    up = np.array([max(min(ones[used[i : j + 1]].sum() / n[used[i : j + 1]].sum() for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))])
+    steps = isotonic(n.astype(float), ones)
+    assert np.allclose(steps[used], up)
+    centres = low + (np.arange(BINS) + 0.5) * (high - low) / BINS
+    clipped = np.clip(raw, low, high)
+    expected = np.clip(0.99 * np.interp(clipped, centres, steps) + 0.01 * (clipped - low) / (high - low), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in score_quality(docs, labels).collect()}
+    assert max(abs(got[d] - e) for (d, _, _), e in zip(rows, expected, strict=True)) < 1e-4
