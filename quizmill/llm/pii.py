@@ -65,14 +65,16 @@ def folded(items: Column, first: Column, step, made: str) -> Column:
 
 def found(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the matches, in code points, end exclusive."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
 
     def step(at: Column, x: Column) -> Column:
         return let(at + F.length(x["gap"]), lambda begin: let(begin + F.length(x["value"]), lambda end: F.struct(end.alias("state"), F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")).alias("out"))))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return let(pairs, lambda p: folded(p, F.lit(0).cast("int"), step, "struct<start:int,end:int,value:string>"))
+    def places(values: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(values))
+        pairs = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+        return F.when(F.size(values) > 0, let(pairs, lambda p: folded(p, F.lit(0).cast("int"), step, "struct<start:int,end:int,value:string>"))).otherwise(F.expr(f"cast(array() as {SPANS})"))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
 
 def _digits(value: Column) -> Column:
