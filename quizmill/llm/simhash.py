@@ -26,6 +26,8 @@ from .stage import released, sliced, table, unique_ids, unwrapped, whole, with_b
 TILE, CHUNK = 16384, 2_000_000
 #: Pairs of a tile pair from which sub-tiles pay.
 SUBTILED = 1_000_000
+#: Hashes of a text that are counted at once.
+PART = 64 * 255
 _LOW = np.uint64(0x0101010101010101)
 
 
@@ -35,33 +37,28 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= size:
-        parts = [joined]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        parts = [joined[a:b] for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts, ends = (ends - lengths)[: max(1, len(words) - size + 1)].tolist(), ends[min(size, len(words)) - 1 :].tolist()
+    del words
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(p, 42) for p in parts], np.uint64)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
 
 
 def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     """A bit of the fingerprint's first word is 1 if it is set in over half of the hashes; none: 0. Further words: of the hashes mixed anew."""
-    hashes = np.stack([hashes if k == 0 else _mixed(hashes, k) for k in range(words)])
-    out = np.zeros(len(hashes), np.uint64)
-    n = hashes.shape[1]
-    if not n:
-        return out
-    padded = np.zeros((len(hashes), -(-n // 255) * 255), np.uint64)
-    padded[:, :n] = hashes
-    blocks = padded.reshape(len(hashes), -1, 255)
-    for k in range(8):  # eight byte lanes at a time; 255 ones still fit a lane
-        lanes = ((blocks >> np.uint64(k)) & _LOW).sum(axis=2, dtype=np.uint64)
-        counts = lanes.view(np.uint8).reshape(len(hashes), -1, 8).sum(axis=1, dtype=np.int64)
-        for lane in range(8):
-            out |= (counts[:, lane] * 2 > n).astype(np.uint64) << np.uint64(8 * lane + k)
-    return out
+    counts = np.zeros((words, 8, 8), np.int64)  # by word, bit of a byte, byte
+    for at in range(0, len(hashes), PART):
+        some = hashes[at : at + PART]
+        padded = np.zeros((words, -(-len(some) // 255) * 255), np.uint64)
+        for k in range(words):
+            padded[k, : len(some)] = some if k == 0 else _mixed(some, k)
+        blocks = padded.reshape(words, -1, 255)
+        for k in range(8):  # eight byte lanes at a time; 255 ones still fit a lane
+            lanes = ((blocks >> np.uint64(k)) & _LOW).sum(axis=2, dtype=np.uint64)
+            counts[:, k] += lanes.view(np.uint8).reshape(words, -1, 8).sum(axis=1, dtype=np.int64)
+    places = (np.uint64(8) * np.arange(8, dtype=np.uint64))[None, :] + np.arange(8, dtype=np.uint64)[:, None]
+    return ((counts * 2 > len(hashes)).astype(np.uint64) << places).sum(axis=(1, 2), dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -333,7 +330,7 @@ def links_within(nodes: DataFrame, similarity: float) -> DataFrame:
     A comp is dealt to blocks by weight, and a group holds two blocks.
     """
     split = nodes.groupBy("comp").agg(F.ceil(F.sum(F.size("shingles") + NODE) / BLOCK).cast("int").alias("split"))
-    dealt = nodes.join(split, "comp").withColumn("part", F.pmod(F.xxhash64("row"), F.col("split")).cast("int"))
+    dealt = nodes.join(with_broadcast_if(written(split, "splits"), BROADCAST_ROWS), "comp").withColumn("part", F.pmod(F.xxhash64("row"), F.col("split")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
     dealt = dealt.select("comp", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), (F.col("part") > F.col("other")).alias("second"), "label", "fp", "shingles")
 
@@ -347,6 +344,8 @@ def links_within(nodes: DataFrame, similarity: float) -> DataFrame:
         u, v = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(labels[u], pa.int64()), "b": pa.array(labels[v], pa.int64())})
 
+    # else a partitioning by comp alone would do for Catalyst, and one task would get all groups of a comp
+    dealt = dealt.repartition("comp", "part_a", "part_b")
     return dealt.groupBy("comp", "part_a", "part_b").applyInArrow(run, "a long, b long")
 
 
@@ -386,7 +385,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # parts that failed links would have joined: a true link between two of them may not be in the forest
     failed = tested.where("not linked").join(label("a"), "row_a").join(label("b"), "row_b")
     comps = connected(failed, "label_a", "label_b").select(F.col("node").alias("label"), F.col("root").alias("comp"))
-    more = connected(links_within(nodes.join(comps, "label").join(sets, "row").select("comp", "label", "row", "fp", "shingles"), similarity), "a", "b")
+    doubtful = nodes.join(with_broadcast_if(written(comps, "comps"), BROADCAST_ROWS), "label").join(sets, "row")
+    more = connected(links_within(written(doubtful.select("comp", "label", "row", "fp", "shingles"), "doubtful"), similarity), "a", "b")
     groups = nodes.join(more.select(F.col("node").alias("label"), F.col("root").alias("top")), "label", "left")
     stay = groups.groupBy(F.coalesce("top", "label").alias("group")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     # ids of the rows that go, not of those that stay: mostly few enough to spare the texts a shuffle
