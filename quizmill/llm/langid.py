@@ -1,8 +1,8 @@
 """Language identification by a convolutional network over bytes, trained in numpy.
 
 Bytes are embedded; filters of several widths run over fixed-length windows, each filter's maximum over the window goes to a
-softmax. A document is read in consecutive windows to its end, and their probabilities are averaged by bytes. At prediction the embedding
-and a filter's weights for two neighbouring bytes are one table look-up.
+softmax. A document is read to its end in windows that overlap by one byte less than the widest filter, so that every filter sees every place,
+and their probabilities are averaged by bytes. At prediction the embedding and a filter's weights for two neighbouring bytes are one table look-up.
 """
 
 from __future__ import annotations
@@ -15,23 +15,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .stage import sliced, table, with_broadcast_if, written
+from .stage import sliced, table, written
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
-#: Training takes at most DOCS documents a language (by the hash of their ids), and of each at most SPREAD windows, evenly spread.
-DOCS, SPREAD, EPOCHS, BATCH, RATE, SEED = 400, 8, 12, 64, 0.004, 11
+STRIDE = WINDOW - max(WIDTHS) + 1
+#: The bound of the sample that trains the network: so many windows, shared evenly by the languages but at most LANGUAGE for each, chosen by hash from all windows of all texts.
+SAMPLE, LANGUAGE = 32_768, 3200
+EPOCHS, BATCH, RATE, SEED = 8, 64, 0.004, 11
 
 
 def windows(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of a whole text (zero-padded, A-Z lower-cased) and their bytes."""
+    """All windows of a whole text (zero-padded, A-Z lower-cased) and the bytes in each that no earlier one has."""
     data = np.frombuffer((text or "").encode().lower(), np.uint8)
-    n = -(-len(data) // WINDOW)
-    out = np.zeros(n * WINDOW, np.uint8)
-    out[: len(data)] = data
-    sizes = np.full(n, WINDOW)
+    n = max(-(-(len(data) - WINDOW) // STRIDE), 0) + 1 if len(data) else 0
+    padded = np.zeros(n * STRIDE + WINDOW - STRIDE, np.uint8)
+    padded[: len(data)] = data
+    sizes = np.full(n, STRIDE)
     if n:
-        sizes[-1] = len(data) - (n - 1) * WINDOW
-    return out.reshape(n, WINDOW), sizes
+        sizes[0] = WINDOW
+        sizes[-1] += len(data) - sizes.sum()
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE][:n] if n else np.zeros((0, WINDOW), np.uint8), sizes
 
 
 class ByteNet:
@@ -116,32 +119,29 @@ class ByteNet:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], ByteNet | None]:
-    """Languages and a network trained on a bounded, evenly chosen sample of the rows that aren't held out."""
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang")).where("doc_id is not null and lang is not null")
-    ids = ids.where(~held_out(F.col("doc_id")))
-    # a share of each language by hash that leaves about twice as many as wanted, so that no task ranks all of a language
-    counts = with_broadcast_if(written(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages"), 100_000)
-    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    ids = ids.join(counts, "lang").where(share * F.col("n") < 2 * DOCS)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS).select("doc_id", "lang")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    chosen = texts.where("text is not null").join(with_broadcast_if(written(ids, "sample").distinct(), 100_000), ["doc_id", "lang"], "left_semi")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w, _ = windows(text)
-                rows += [(lang, w[k].tobytes()) for k in sorted({round(i * (len(w) - 1) / max(1, SPREAD - 1)) for i in range(SPREAD)}) if len(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "w"])
-
-    rows = sorted(tuple(r) for r in chosen.select("text", "lang").mapInArrow(cut, "lang string, w binary").collect())
+    """Languages and a network trained on a bounded sample of windows of the rows that aren't held out."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.where("doc_id is not null and lang is not null and octet_length(text) > 0").where(~held_out(F.col("doc_id")))
+    windows_of = F.greatest(F.ceil((F.octet_length("text") - WINDOW) / STRIDE), F.lit(0)) + 1
+    counts = written(rows.groupBy("lang").agg(F.sum(windows_of).alias("n")), "languages")
+    wanted = max(1, min(LANGUAGE, SAMPLE // max(1, counts.count())))
+    # languages beyond the bound (there is a window at least of each) can't be learned: the most frequent ones are
+    counts = F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(SAMPLE))
+    # a share of each language's windows by hash that leaves about twice as many as wanted, so that no task ranks all of a language
+    at = F.explode(F.sequence(F.lit(0).cast("long"), windows_of.cast("long") - 1)).alias("k")
+    places = rows.select("doc_id", "lang", "text", at).withColumn("h", F.xxhash64("doc_id", "k", F.lit(SEED)))
+    places = places.join(counts, "lang").where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) * F.col("n") < 2 * wanted)
+    cut = F.substring(F.encode("text", "UTF-8"), (F.col("k") * STRIDE + 1).cast("int"), F.lit(WINDOW)).alias("w")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "k", "w")
+    chosen = places.select("doc_id", "lang", "k", "h", cut).withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted)
+    # at most SAMPLE windows
+    rows = sorted((r["lang"], bytes(r["w"]).lower().ljust(WINDOW, b"\0")) for r in chosen.select("lang", "w").collect())
     langs = sorted({r[0] for r in rows})
     if not langs:
         return [], None
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(-1, WINDOW)
-    net = ByteNet(len(langs)).train(x, np.array([langs.index(r[0]) for r in rows]))
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)
+    number = {lang: k for k, lang in enumerate(langs)}
+    net = ByteNet(len(langs)).train(x, np.array([number[r[0]] for r in rows]))
     net.tables()
     return langs, net
 
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score) for every row; score is the mean probability of the predicted language.
 
     Learns from text and non-null language of rows whose crc32 of the id as text isn't divisible by 5. Texts that are null or
-    without a letter are `und` with score 0, as is everything if nothing can be learned from. Repeated and null ids give a row each (null: not
+    without a letter are `und` with score 0, as is everything if nothing can be learned from; texts of any length are read to their end. Repeated and null ids give a row each (null: not
     held out, not learned from). Columns not named are ignored. No rows: no rows.
     """
     langs, net = fit(docs, id_col, text_col, lang_col)
