@@ -1,8 +1,8 @@
 """Interleaved documents: ordered texts and media references from HTML, with payloads resolved by digest.
 
 A page's sequence keeps the place of each text and each reference, with captions beside their media. Payloads live in a media
-table under the SHA-256 of their stored form. Only what is computed from a payload is joined to references, never the
-payload, and copies are folded by digest before the join.
+table under the SHA-256 of their stored form; copies are folded by digest before they are joined to references. References can be
+joined to the payloads themselves (`payloads`) or, far smaller, to what is computed from these (`features`).
 """
 
 from __future__ import annotations
@@ -163,8 +163,13 @@ def features(media: DataFrame) -> DataFrame:
     return made.groupBy("digest").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 
+def payloads(media: DataFrame) -> DataFrame:
+    """(digest, stored): each stored form once."""
+    return media.groupBy("digest").agg(F.first("stored").alias("stored"))
+
+
 def resolve(items: DataFrame, found: DataFrame) -> DataFrame:
-    """items with the features of the media that their references name by digest; other items and unknown digests have nulls."""
+    """items with the columns that found(digest, ...) has for the media which their references name by digest; other items and unknown digests have nulls."""
     ref = F.when(F.startswith(F.col("ref"), F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 64))
     return items.withColumn("digest", ref).join(found, "digest", "left")
 
@@ -181,23 +186,24 @@ def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             html = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                digest = hashlib.sha256(store((text or "").encode())).hexdigest()
-                html.append(f'<article><p>{escape(text or "")}</p><figure><img src="{SCHEME}{digest}"><figcaption>bytes of {i}</figcaption></figure></article>')
+            for text in b.column(1).to_pylist():
+                data = (text or "").encode()
+                digest = hashlib.sha256(store(data)).hexdigest()
+                html.append(f'<article><p>{escape(text or "")}</p><figure><img src="{SCHEME}{digest}"><figcaption>{len(data)} bytes</figcaption></figure></article>')
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(html, pa.string())], ["id", "html"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, html string")
 
 
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, caption) for every row.
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pos, caption) for every row.
 
-    Null and empty texts are 64 zero bytes. Equal texts have equal values; repeated and null ids give a row each. Columns not named are
+    pos and caption are those of the medium in its document's page. Null and empty texts are 64 zero bytes; texts may be of any length. Equal texts have equal values; repeated and null ids give a row each. Columns not named are
     ignored. No rows: no rows.
     """
     items = interleaved(as_pages(docs, id_col, text_col), "id", "html").where("kind = 'media'")
     out = resolve(items.select("id", "pos", "ref", "caption"), written(features(media_table(docs, text_col)), "features"))  # a table: Catalyst can split a digest that many share
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
