@@ -2,7 +2,8 @@
 
 A shard holds whole documents in ascending id order. Its file has, for each bit of the ids from the highest, the plane of
 these bits in the order that the planes above leave (zeros before ones, stable), with counts of ones up to
-each block, so that access, rank (counting) and select (occurrence lookup) take a step a plane. Files are kept as rows of a
+each block, so that access, rank (counting) and select (occurrence lookup) take a step a plane. Planes are compressed in pieces of PIECE bytes
+that are read alone, so a step reads a piece and not its plane. Files are kept as rows of a
 Parquet table (a row a shard), so that any file system Spark writes to will do and a lost task leaves no partial file.
 """
 
@@ -22,15 +23,37 @@ from pyspark.sql import functions as F
 from .stage import table, written
 from .tokens import default_path, encoder
 
-MAGIC, BLOCK = b"QMWM1\0", 512
+MAGIC, BLOCK, PIECE = b"QMWM2\0", 512, 8192
 #: Tokens after which a shard ends, at the end of a document.
 SHARD_TOKENS = 1 << 19
 
 
+class Plane:
+    """A plane of a file. A piece is decompressed when it is first read."""
+
+    def __init__(self, data: memoryview, ends: np.ndarray, size: int):
+        self.data, self.ends, self.size, self.read = data, ends.tolist(), size, {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _piece(self, k: int) -> np.ndarray:
+        if k not in self.read:
+            self.read[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data[self.ends[k - 1] if k else 0 : self.ends[k]]), np.uint8)
+        return self.read[k]
+
+    def __getitem__(self, key: int | slice) -> np.ndarray:
+        if isinstance(key, slice):
+            a, b, _ = key.indices(self.size)
+            parts = [self._piece(k)[max(a - k * PIECE, 0) : b - k * PIECE] for k in range(a // PIECE, -(-b // PIECE))]
+            return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint8)
+        return self._piece(key // PIECE)[key % PIECE]
+
+
 class WaveletMatrix:
     """Rank and select over a sequence of ids below 2**bits."""
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], zeros: list[int], counts: list[np.ndarray] | None = None):
+    def __init__(self, n: int, bits: int, planes: list[np.ndarray] | list[Plane], zeros: list[int], counts: list[np.ndarray] | None = None):
         self.n, self.bits, self.planes, self.zeros = n, bits, planes, zeros
         self.counts = counts or [self._count(p) for p in planes]
 
@@ -58,7 +81,7 @@ class WaveletMatrix:
         """All ids: the planes' partitions are undone from the lowest bit up."""
         order = np.zeros(self.n, dtype)
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            one = np.unpackbits(plane, count=self.n).view(bool)
+            one = np.unpackbits(plane[:], count=self.n).view(bool)
             above = np.empty(self.n, dtype)
             above[np.flatnonzero(~one)] = order[:zeros]
             above[np.flatnonzero(one)] = order[zeros:] | dtype.type(1 << k)
@@ -118,41 +141,51 @@ class WaveletMatrix:
             at = low
         return at
 
+    def occurrences(self, value: int) -> np.ndarray:
+        """Positions of all occurrences in order: select of every one at once. Planes are read whole only if there are any."""
+        at = np.arange(*self._range(value, self.n))
+        for level in range(self.bits - 1, -1, -1):
+            if len(at):
+                one = value >> (self.bits - 1 - level) & 1
+                at = np.flatnonzero(np.unpackbits(self.planes[level][:], count=self.n) == one)[at - self.zeros[level] if one else at]
+        return at
+
 
 def to_file(docs: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
-    """A shard's file: a header, then compressed sections (document ids, lengths, each plane with its counts)."""
+    """A shard's file: a header, the ends of its sections, then these, compressed: document ids, lengths, counts of each plane, pieces of each plane."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    parts = [docs.astype("<i8").tobytes(), lengths.astype("<u4").tobytes()]
-    for plane, counts in zip(matrix.planes, matrix.counts, strict=True):
-        parts += [plane.tobytes(), counts.astype("<u4").tobytes()]
+    parts = [docs.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), *(counts.astype("<u4").tobytes() for counts in matrix.counts)]
+    for plane in matrix.planes:
+        parts += [plane[at : at + PIECE].tobytes() for at in range(0, len(plane), PIECE)]
     parts = [pack(p) for p in parts]
-    head = struct.pack(f"<QIB{matrix.bits}Q", matrix.n, len(docs), matrix.bits, *matrix.zeros)
-    return MAGIC + head + struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
+    head = struct.pack(f"<QIBI{matrix.bits}Q", matrix.n, len(docs), matrix.bits, len(parts), *matrix.zeros)
+    return MAGIC + head + np.cumsum([len(p) for p in parts]).astype("<u8").tobytes() + b"".join(parts)
 
 
 def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
+    """Document ids, lengths and the matrix. Pieces of planes are decompressed as they are needed."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a shard file")
     at = len(MAGIC)
-    n, n_docs, bits = struct.unpack_from("<QIB", data, at)
-    at += 13
+    n, n_docs, bits, n_parts = struct.unpack_from("<QIBI", data, at)
+    at += struct.calcsize("<QIBI")
     zeros = struct.unpack_from(f"<{bits}Q", data, at)
     at += 8 * bits
-    sizes = struct.unpack_from(f"<{2 + 2 * bits}Q", data, at)
-    at += 8 * len(sizes)
-    unpack, parts = zstandard.ZstdDecompressor().decompress, []
-    for size in sizes:
-        parts.append(unpack(data[at : at + size]))
-        at += size
-    planes = [np.frombuffer(p, np.uint8) for p in parts[2::2]]
-    counts = [np.frombuffer(p, "<u4") for p in parts[3::2]]
-    return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<u4"), WaveletMatrix(n, bits, planes, list(zeros), counts)
+    ends = np.frombuffer(data, "<u8", n_parts, at).astype(np.int64)
+    body = memoryview(data)[at + 8 * n_parts :]
+    unpack = zstandard.ZstdDecompressor().decompress
+    first = [unpack(body[a:b]) for a, b in zip([0, *ends.tolist()], ends[: 2 + bits].tolist(), strict=False)]
+    size = -(-n // 8)
+    pieces = -(-size // PIECE)
+    start = lambda k: 2 + bits + k * pieces
+    planes = [Plane(body[ends[start(k) - 1] :], ends[start(k) : start(k + 1)] - ends[start(k) - 1], size) for k in range(bits)]
+    return np.frombuffer(first[0], "<i8"), np.frombuffer(first[1], "<u4"), WaveletMatrix(n, bits, planes, list(zeros), [np.frombuffer(c, "<u4") for c in first[2:]])
 
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shards: int | None = None) -> DataFrame:
     """The written table (task, first, n_tokens, file): documents by ascending id over all tasks, in shards within a task.
 
-    first: tokens of the task's earlier shards. Rows of equal id stand in the order of their texts' hashes, null ids come first
+    first: tokens of the task's earlier shards. Texts may be of any length: one is in one shard. Rows of equal id stand in the order of their texts' hashes, null ids come first
     and are -2**63 in the files. Null texts are empty. No rows: no shards.
     """
     path = tokenizer or default_path()
@@ -225,7 +258,7 @@ def lookup(shards: DataFrame, token: int) -> DataFrame:
             for data in b.column(0).to_pylist():
                 docs, lengths, matrix = from_file(data)
                 starts = np.cumsum(lengths, dtype=np.int64) - lengths
-                at = np.array([matrix.select(token, k) for k in range(matrix.rank(token, matrix.n))], np.int64)
+                at = matrix.occurrences(token)
                 doc = np.searchsorted(starts, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(docs[doc], mask=docs[doc] == -(1 << 63)), pa.array(at - starts[doc])], ["doc_id", "position"])
 

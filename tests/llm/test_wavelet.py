@@ -8,7 +8,7 @@ from quizmill.llm.tokens import END, default_path
 from quizmill.llm.wavelet import WaveletMatrix, from_file, lookup, read_documents, to_file, write_shards
 
 
-@pytest.mark.parametrize("n,bits", [(0, 4), (1, 1), (700, 4), (5000, 16)])
+@pytest.mark.parametrize("n,bits", [(0, 4), (1, 1), (700, 4), (5000, 16), (150_000, 16)])
 def test_access_rank_select_and_round_trip(n, bits):
     rng = np.random.default_rng(n)
     ids = rng.integers(0, min(1 << bits, 40), n).astype("<u2")
@@ -19,10 +19,19 @@ def test_access_rank_select_and_round_trip(n, bits):
         assert m.rank(int(ids[at]), int(at)) == (ids[:at] == ids[at]).sum()
         assert m.select(int(ids[at]), int((ids[:at] == ids[at]).sum())) == at
     assert m.rank(1, 0) == 0
+    for value in range(min(1 << bits, 41)):
+        assert m.occurrences(value).tolist() == np.flatnonzero(ids == value).tolist()
     with pytest.raises(ValueError):
         m.select(0, n)
 
 
+def test_one_access_reads_a_piece_of_each_plane():
+    ids = np.random.default_rng(1).integers(0, 50_000, 200_000).astype("<u2")
+    _, _, m = from_file(to_file(np.arange(1), np.array([len(ids)]), WaveletMatrix.build(ids, 16)))
+    assert m.access(123_456) == ids[123_456]
+    assert len(m.planes[0]) > 2 * wavelet.PIECE and all(len(p.read) <= 2 for p in m.planes)
+
+
 def brute(rows):
     from tokenizers import Tokenizer
 
