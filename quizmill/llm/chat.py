@@ -100,7 +100,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def expand(turns: DataFrame, limit: int | None = None) -> DataFrame:
     """(conv_id, example, refers, text, loss_from, loss_to) of conversations(conv_id, turn, role, text).
 
-    Turns are taken by turn, then role and text (null first); repeated rows stay. Null roles and texts are empty, null conversation ids are a
+    Turns are taken by turn, then role and text (null first); repeated rows stay. Null roles and texts are empty, texts of any length are whole in every example, null conversation ids are a
     conversation of their own. Columns not named are ignored. No rows: no rows.
     """
 

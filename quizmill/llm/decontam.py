@@ -116,7 +116,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs.
 
     A word is hit if it lies in any occurrence of a window of `size` consecutive item words; an item of fewer words is one
-    window. Null and wordless texts have no words and no hits; wordless items have no windows. Item ids are compared as
+    window. Null and wordless texts have no words and no hits, very long ones have postings for all their words; wordless items have no windows. Item ids are compared as
     strings, a repeated one counts once, hits of an item with a null id count as hits but not as an item. Rows with
     repeated or null doc ids get a row each. Columns not named are ignored. No documents: no rows; no items: no hits.
     """
@@ -143,7 +143,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
-    """The rows of docs in which no window of an item occurs, with all their columns."""
+    """The rows of docs in which no window of an item occurs, with all their columns.
+
+    Null, empty and wordless texts stay; texts of any length are read whole. Rows of equal id and text stay or go together, others of equal or
+    null id apart. Items without words have no windows. No documents: no rows; no items: all rows.
+    """
     index = build_index(docs, items, id_col, text_col, item_col, item_text_col, marked=True)
     hit = index.documents.join(exact_matches(index, size).select("row").distinct(), "row", "left_semi")
     hit = written(hit.select(F.col("mark").alias("mark_")).distinct(), "hit")

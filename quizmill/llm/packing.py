@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset): every token of every row once. ids are left out unless with_ids.
 
-    Null and empty texts are the end token alone. Repeated rows and ids, and null ids, are packed like any other row. Columns other
+    Null and empty texts are the end token alone, texts of any length are cut into as many pieces as they need. Repeated rows and ids, and null ids, are packed like any other row. Columns other
     than the two named are ignored. No rows: no rows. Sequences are gapless from offset 0, at most `capacity` long.
     """
     cut = written(pieces(docs, id_col, text_col, capacity, tokenizer or default_path()), "pieces")

@@ -173,7 +173,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     """(doc_id, base, spans, kept): a row for each of docs. base and spans are array<struct<start, kind, end>>, sorted; spans has the
     base spans and those that the bootstrapping adds. kept: a struct of the columns in keep (null if none).
 
-    Null and empty texts have no spans. Repeated and null ids give a row each; copies of a value count once as an instance. Columns not
+    Null and empty texts have no spans; very long ones are read whole. Repeated and null ids give a row each; copies of a value count once as an instance. Columns not
     named are ignored. No rows: no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

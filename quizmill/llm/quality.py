@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
 from .stage import sliced, table, unique_ids, unwrapped, whole, with_broadcast_if, written
 
@@ -118,14 +119,14 @@ def _features(column: pa.ListArray) -> np.ndarray:
 def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, x array<float>), then kept if docs have such a column."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(["kept"] if "kept" in docs.columns else []))
-    kept = f", kept {dict(rows.dtypes)['kept']}" if "kept" in rows.columns else ""
+    kept = [rows.schema["kept"]] if "kept" in rows.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             x = np.array([statistics(t) for t in b.column(1).to_pylist()], np.float32).reshape(-1, N_STATISTICS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N_STATISTICS, x.ravel()), *b.columns[2:]], ["doc_id", "x", *b.schema.names[2:]])
 
-    return rows.mapInArrow(run, f"doc_id long, x array<float>{kept}")
+    return rows.mapInArrow(run, StructType([StructField("doc_id", LongType()), StructField("x", ArrayType(FloatType())), *kept]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -231,9 +232,9 @@ def _scored(stats: DataFrame, model: Model | None, threshold: float) -> DataFram
             score = model.score(_features(b.column(2))) if model else np.full(len(b), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.clip(score, 0, 1)), pa.array((score >= threshold).astype(np.int32)), *b.columns[3:]], ["doc_id", "held_out", "score", "predicted", *b.schema.names[3:]])
 
-    kept = f", kept {dict(stats.dtypes)['kept']}" if "kept" in stats.columns else ""
-    carried = ["kept"] if kept else []
-    return stats.select("doc_id", "held_out", "x", *carried).mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int{kept}")
+    kept = [stats.schema["kept"]] if "kept" in stats.columns else []
+    made = [StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    return stats.select("doc_id", "held_out", "x", *[f.name for f in kept]).mapInArrow(run, StructType([*made, *kept]))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id): documents whose fingerprints link at radius or fewer bits, transitively.
 
     component_id is the smallest id in the component. Null, empty and blank texts share fingerprint 0 and are linked
-    like any other. Repeated ids give a row each; rows with a null id are kept, and their id is never a component_id
+    like any other; very long texts are hashed whole. Repeated ids give a row each; rows with a null id are kept, and their id is never a component_id
     unless a component has no other (then null). Columns other than the two named are ignored. No rows: no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, size), "prints")
@@ -355,7 +355,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     256-bit sketches give a least-distance forest over the candidates; a link of it counts if the exact Jaccard similarity of the two
     shingle sets is at least `similarity`. Where links of the forest fail, all candidate pairs
     between the parts that they would have joined are tested. Equal shingle sets are one group, different ones of equal sketches are linked like any other. Blank and null
-    texts are one group. Null ids come after others; rows of equal id in any order. No rows: no rows.
+    texts are one group; very long texts are compared whole. Null ids come after others; rows of equal id in any order. No rows: no rows.
     """
     ids = F.col(id_col).cast("long")
     plain = unique_ids(docs, id_col)
