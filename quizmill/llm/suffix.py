@@ -14,6 +14,7 @@ such a gram, the first of their kind in their shards, then meet those of its oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import released, sliced, table, with_broadcast_if, written
+from .stage import released, sliced, small_enough, table, with_broadcast_if, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a long text that are hashed at once; bytes of contexts that make a shard's text; occurrences of a gram that one shard takes, about.
 CHUNK, SHARD, HOT = 1 << 19, 1 << 20, 20_000
-#: So many row numbers, and digests or rows with their spans, may be broadcast (some tens of MB).
+#: So many row numbers, and digests or strings of LENGTH bytes, may be broadcast (some tens of MB).
 BROADCAST_ROWS, BROADCAST_KEYS, END = 1_000_000, 200_000, 1 << 62
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TAIL = np.uint64((1 << 20) - 1)
@@ -395,9 +396,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _numbered(docs, id_col, text_col)
     copies = whole_copies(rows.where(F.octet_length("text") >= LENGTH))
     held = with_broadcast_if(copies, BROADCAST_ROWS)
-    spans = with_broadcast_if(repeated_spans(rows, copies), BROADCAST_KEYS)
+    spans, n = repeated_spans(rows, copies), F.octet_length("text").cast("long")
     released(docs.sparkSession)
-    out = rows.join(held, "row", "left_anti").join(spans, "row", "left").select("doc_id", "text", "spans")
+    rest, hit = rows.join(held, "row", "left_anti"), spans.select("row")
+    parts = []
+    if small_enough(hit, BROADCAST_ROWS):  # other texts stay as they are, and needn't be shuffled
+        zero = F.lit(0).cast("long")
+        parts.append(rest.join(F.broadcast(hit), "row", "left_anti").select("doc_id", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept")))
+        rest = rest.join(F.broadcast(hit), "row", "left_semi")
+    out = rest.join(spans, "row", "left").select("doc_id", "text", "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -414,11 +421,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = list(zip(*made, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kept = out.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    parts.append(out.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
     # copies go whole: nothing of their texts is read but the length
-    n = F.octet_length("text").cast("long")
-    gone = rows.join(held, "row", "left_semi").select("doc_id", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    return kept.unionByName(gone)
+    parts.append(rows.join(held, "row", "left_semi").select("doc_id", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -64,8 +64,10 @@ def hard():
     ]
 
 
-@pytest.mark.parametrize("hot,chunk", [(20_000, 1 << 19), (1, 256)])
-def test_overlaps_periods_nulls_and_extra_columns(spark, monkeypatch, hot, chunk):
+@pytest.mark.parametrize("hot,chunk,rows", [(20_000, 1 << 19, 1_000_000), (1, 256, 0), (3, 1 << 19, 0)])
+def test_overlaps_periods_nulls_and_extra_columns(spark, monkeypatch, hot, chunk, rows):
+    monkeypatch.setattr(suffix, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(suffix, "BROADCAST_KEYS", rows)
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "CHUNK", chunk)
     rows = hard()
