@@ -110,9 +110,20 @@ def patched(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns])
 
 
-def rate_limited(events: DataFrame, key: list[str], at: str, tokens: Column, config: Config = DEFAULT) -> DataFrame:
-    """events with the requests and tokens of the window that ends with each, and whether they are within the limits. An event exactly a window ago is out."""
+def rate_limited(events: DataFrame, key: list[str], at: str, tokens: Column, config: Config = DEFAULT, split: bool = False) -> DataFrame:
+    """events with the requests and tokens of the window that ends with each, and whether they are within the limits. An event exactly a window ago is out.
+
+    split: for few keys with very many events. Time is cut into pieces of a window's length, and an event also goes to the piece after its own,
+    where it only counts: twice the rows, but as many tasks as there are pieces.
+    """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
+    if split:
+        spent, given = "spent_", events.columns
+        piece = F.floor(micros / (config.rate_window_s * 1_000_000))
+        both = F.explode(F.array(F.struct(piece.alias("piece"), F.lit(True).alias("own")), F.struct((piece + 1).alias("piece"), F.lit(False).alias("own"))))
+        rows = events.withColumn(spent, tokens).withColumn("p_", both).withColumn("piece_", F.col("p_.piece")).withColumn("own_", F.col("p_.own"))
+        out = rate_limited(rows, [*key, "piece_"], at, F.col(spent), config).where("own_")
+        return out.select(*given, "requests", "tokens", "allowed")
     ending = Window.partitionBy(*key).orderBy(micros).rangeBetween(-(config.rate_window_s * 1_000_000 - 1), 0)
     out = events.withColumn("requests", F.count("*").over(ending)).withColumn("tokens", F.sum(tokens).over(ending))
     return out.withColumn("allowed", (F.col("requests") <= config.rate_requests) & (F.col("tokens") <= config.rate_tokens))

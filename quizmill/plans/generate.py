@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TOPICS, Config
 from ..functions.chunking import chunks, exploded
+from ..functions.parsing import mcqs
 from ..functions.text import clean, final_score, unnested
 from ..operators.lifecycle import extraction_status, ineligible
 from ..operators.retrieval import contexts, limit, spread_sample
 from ..operators.selection import select, with_topics
-from ..providers import candidates_wanted, mock_mcqs
+from ..operators.style import outlines
+from ..providers import asked_until, candidates_wanted, mapped
 from ..sources.tables import table, topics
 
 
@@ -28,11 +30,30 @@ def eligible(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return unnested(docs, F.filter(checked, lambda c: c["fine"]), "fine", "doc_id").select("doc_id", "text")
 
 
-def generated(spark: SparkSession, folder: str, target: int = 5, config: Config = DEFAULT) -> DataFrame:
-    """(doc_id, sort_order, question, correct_option, difficulty, topic_id, quality_score, mode) with the mock provider."""
-    parts = exploded(eligible(table(spark, folder, "documents"), config), chunks(F.col("text"), config), "doc_id")
-    asked = contexts(spread_sample(parts, limit(target, config)), "doc_id")
-    made = mock_mcqs(asked, F.col("context"), [s for s, _ in TOPICS], candidates_wanted(target, config), None, "doc_id")
-    judged = made.withColumn("critique", F.lit("Approved (mock).")).withColumn("quality_score", final_score(F.lit(0.8), F.col("critique"), F.lit(True)))
-    kept = with_topics(select(judged, "doc_id", F.lit(target)), topics(spark))
+def requests(docs: DataFrame, target: int, config: Config = DEFAULT, name: str | tuple[str, ...] = "mock") -> DataFrame:
+    """(doc_id, context) of eligible documents: chunks at spread places, under the outline of a long document if the settings want one."""
+    parts = exploded(docs, chunks(F.col("text"), config), "doc_id")
+    held = spread_sample(parts, limit(target, config))
+    if not config.use_global_outline:
+        return contexts(held, "doc_id")
+    return contexts(held.join(outlines(parts, "doc_id", name, config), "doc_id", "left"), "doc_id", F.first("outline"))
+
+
+def judged(found: DataFrame, name: str | tuple[str, ...] = "mock", config: Config = DEFAULT) -> DataFrame:
+    """Candidates with the verdicts of a provider: critique and the score that counts."""
+    shown = found.withColumn("shown_", F.to_json(F.struct("question", "options", "correct_option", "explanation")))
+    told = mapped(shown, "shown_", "verdict_", "validate", name, config.batch_validation_max)
+    v = F.col("verdict_")
+    return told.withColumn("critique", v["critique"]).withColumn("quality_score", final_score(v["quality_score"], v["critique"], v["is_valid"])).drop("shown_", "verdict_")
+
+
+def generated(spark: SparkSession, folder: str, target: int = 5, config: Config = DEFAULT, name: str | tuple[str, ...] = "mock", level: str | None = None, style: str | None = None) -> DataFrame:
+    """(doc_id, sort_order, question, correct_option, difficulty, topic_id, quality_score, mode): the provider's questions, by its own verdicts.
+
+    Answers without questions are asked for again; what can't be read gives no candidate.
+    """
+    slugs = [s for s, _ in TOPICS]
+    asked = requests(eligible(table(spark, folder, "documents"), config), target, config, name)
+    raw = asked_until(asked, "context", (candidates_wanted(target, config), slugs, level, style), name, config.generation_attempts)
+    kept = with_topics(select(judged(mcqs(raw, "raw", slugs, "doc_id"), name, config), "doc_id", F.lit(target)), topics(spark))
     return kept.select("doc_id", "sort_order", "question", "correct_option", "difficulty", "topic_id", "quality_score", "mode")

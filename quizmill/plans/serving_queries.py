@@ -13,6 +13,7 @@ from ..functions import text
 from ..operators import export, lifecycle, pages, selection, serving
 from ..sources.tables import table, topics
 from .registry import query
+from .text_queries import GENERATED_CTE
 
 #: A fixed "now", at the end of the events.
 NOW = "2024-01-31 00:00:00"
@@ -260,9 +261,9 @@ def throttled_progress(spark, sf):
     return lifecycle.throttled(rows, "done", "total")
 
 
-def _rates(spark, sf, key: str, config=DEFAULT) -> DataFrame:
+def _rates(spark, sf, key: str, config=DEFAULT, split: bool = False) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", key, "ts", F.floor("value").cast("long").alias("spent"))
-    return lifecycle.rate_limited(events, [key], "ts", F.col("spent"), config)
+    return lifecycle.rate_limited(events, [key], "ts", F.col("spent"), config, split)
 
 
 @query(
@@ -282,7 +283,8 @@ def token_throttle(spark, sf):
     """W5, A4, M11 over an hour"""
     from dataclasses import replace
 
-    return _rates(spark, sf, "event_type", replace(DEFAULT, rate_window_s=3600, rate_requests=3, rate_tokens=200)).select("event_id", "requests", "tokens", "allowed")
+    # five types of events, however many events there are
+    return _rates(spark, sf, "event_type", replace(DEFAULT, rate_window_s=3600, rate_requests=3, rate_tokens=200), split=True).select("event_id", "requests", "tokens", "allowed")
 
 
 @query(
@@ -391,9 +393,12 @@ def page_batches(spark, sf):
     return pages.within_budget(batches, "user_id", "batch", "tokens")
 
 
-@query()
+@query(
+    f"""{GENERATED_CTE} SELECT doc_id, CAST(i + 1 AS BIGINT) AS sort_order, '[Mock] Question ' || (i + 1) || ' (seed ' || substring(sha256(substring(context, 1, 200)), 1, 8) || '): What is the main idea of the given text?' AS question,
+    ['A','B','C','D'][i % 4 + 1] AS correct_option, 'medium' AS difficulty, CAST(i % {len(TOPICS)} + 1 AS BIGINT) AS topic_id, CAST(0.8 AS DOUBLE) AS quality_score, 'strict' AS mode FROM asked, range(5) r(i)"""
+)
 def generated_tests(spark, sf):
-    """3.1 with the mock provider"""
+    """3.1, M3, M4, M8, W8, J6: context, generation, parsing, verdicts and selection, through the mock as a provider on the workers"""
     from .generate import generated
 
     return generated(spark, sf)

@@ -105,16 +105,22 @@ def sentences(spark, sf):
     return text.unnested(table(spark, sf, "documents"), rows, "sent_ix", "doc_id")
 
 
-SEMANTIC_SQL = f"""WITH RECURSIVE {SENTENCES_CTE},
-l AS (SELECT doc_id, ix + 1 AS i, sentence, length(sentence) + 1 AS w, sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY ix) AS cum, count(*) OVER (PARTITION BY doc_id) AS n FROM sents),
+#: Chunks of the sentences in sents.
+SEMANTIC_CTE = """l AS (SELECT doc_id, ix + 1 AS i, sentence, length(sentence) + 1 AS w, sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY ix) AS cum, count(*) OVER (PARTITION BY doc_id) AS n FROM sents),
 c AS (
   SELECT doc_id, 1 AS k, 1 AS a, (SELECT coalesce(min(x.i) - 1, max(l.n)) FROM l x WHERE x.doc_id = l.doc_id AND x.i > 1 AND x.cum > 1500) AS b, max(l.n) AS n FROM l GROUP BY doc_id
   UNION ALL
   SELECT doc_id, k + 1, a2, (SELECT coalesce(min(x.i) - 1, s.n) FROM l x WHERE x.doc_id = s.doc_id AND x.i > s.b + 1 AND x.cum - (SELECT y.cum - y.w FROM l y WHERE y.doc_id = s.doc_id AND y.i = s.a2) > 1500), n
   FROM (SELECT c.doc_id, c.k, c.b, c.n, (SELECT coalesce(min(x.i), c.b + 1) FROM l x WHERE x.doc_id = c.doc_id AND x.i BETWEEN c.a AND c.b
         AND (SELECT y.cum FROM l y WHERE y.doc_id = c.doc_id AND y.i = c.b) - x.cum + x.w <= 300) AS a2 FROM c WHERE c.b < c.n) s
-)
-SELECT c.doc_id, CAST(c.k - 1 AS BIGINT) AS chunk_ix, string_agg(l.sentence, ' ' ORDER BY l.i) AS text FROM c JOIN l ON l.doc_id = c.doc_id AND l.i BETWEEN c.a AND c.b GROUP BY c.doc_id, c.k"""
+),
+semantic AS (SELECT c.doc_id, CAST(c.k - 1 AS BIGINT) AS chunk_ix, string_agg(l.sentence, ' ' ORDER BY l.i) AS text FROM c JOIN l ON l.doc_id = c.doc_id AND l.i BETWEEN c.a AND c.b GROUP BY c.doc_id, c.k)"""
+SEMANTIC_SQL = f"WITH RECURSIVE {SENTENCES_CTE}, {SEMANTIC_CTE} SELECT * FROM semantic"
+#: The context that questions are asked on.
+GENERATED_CTE = f"""WITH RECURSIVE {ELIGIBLE_CTE}, {SENTENCES_CTE.replace("FROM documents", "FROM eligible")}, {SEMANTIC_CTE},
+counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_chunks FROM semantic),
+asked AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_ix) AS context FROM counted
+  WHERE n_chunks <= 15 OR list_contains(list_transform(range(15), lambda i: CAST(round_even(i * (n_chunks - 1) / 14.0, 0) AS BIGINT)), chunk_ix) GROUP BY doc_id)"""
 
 
 @query(SEMANTIC_SQL)
@@ -374,7 +380,7 @@ def embedded_retrieval(spark, sf):
     """M1, O2: chunks by the mock's embeddings, against the topic query's"""
     from ..providers import MockProvider, embedded
 
-    goal = MockProvider().embed(["UPSC questions on polity: history, polity, economy concepts"])[0].tolist()
+    goal = MockProvider().embed(["UPSC questions on polity: history, polity, economy concepts"])[0].tolist()  # one vector
     parts = embedded(_fixed(spark, sf), "text")
     near = vectors.cosine_to(parts.select("doc_id", "chunk_ix", "embedding"), "embedding", goal)
     best = retrieval.top_by(near, ["doc_id"], F.col("similarity"), "chunk_ix", 5)
