@@ -37,6 +37,11 @@ def as_json(questions: DataFrame, key: str, *header: str) -> DataFrame:
     return per.select(key, F.to_json(F.struct(F.col(key).alias("test_id"), *header, F.size("q").alias("questions_generated"), mcqs.alias("mcqs"))).alias("json"))
 
 
+def write_exports(documents: DataFrame, key: str, path: str) -> None:
+    """A folder with a text file for each row of as_json, by key; exports of other tests stay."""
+    documents.select(key, "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(path)
+
+
 def replace_questions(questions: DataFrame, key: str, path: str) -> None:
     """Writes each test's rows in place of its former ones; other tests' rows stay."""
     numbered = questions.withColumn("sort_order", F.row_number().over(Window.partitionBy(key).orderBy("sort_order")))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..functions.text import clean
-from ..providers import provider
+from ..providers import maker
 
 
 def pdf_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -18,11 +24,116 @@ def pdf_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
 
 
-def page_count(content: Column) -> Column:
-    """Page objects in an uncompressed PDF; null for anything else."""
-    text = F.decode(content, "ISO-8859-1")
-    n = F.regexp_count(text, F.lit(r"/Type\s*/Page(?![A-Za-z])"))
-    return F.when(F.startswith(text, F.lit("%PDF-")) & (n > 0), n)
+_OBJECT = re.compile(rb"(?<![0-9])([0-9]+)\s+([0-9]+)\s+obj\b(.*?)\bendobj\b", re.S)
+_STREAM = re.compile(rb"\bstream\r?\n(.*?)\r?\n?endstream\b", re.S)
+_PAGE, _TREE = re.compile(rb"/Type\s*/Page(?![A-Za-z])"), re.compile(rb"/Type\s*/Pages(?![A-Za-z])")
+
+
+def pdf_objects(data: bytes) -> dict[int, bytes]:
+    """The dictionaries of a PDF's objects by number, those in compressed object streams too; of a repeated number the last stands."""
+    found: dict[int, bytes] = {}
+    for m in _OBJECT.finditer(data):
+        number, body = int(m[1]), m[3]
+        stream = _STREAM.search(body)
+        head = body[: stream.start()] if stream else body
+        found[number] = head
+        if stream and re.search(rb"/Type\s*/ObjStm\b", head):
+            first, n = (int(re.search(rb"/%s\s+([0-9]+)" % k, head)[1]) for k in (b"First", b"N"))
+            plain = zlib.decompressobj().decompress(stream[1]) if b"/FlateDecode" in head else stream[1]
+            table = [int(x) for x in plain[:first].split()[: 2 * n]]
+            starts = [first + x for x in table[1::2]]
+            for k, (number, at) in enumerate(zip(table[::2], starts, strict=True)):
+                found[number] = plain[at : starts[k + 1] if k + 1 < n else None]
+    return found
+
+
+def pdf_pages(data: bytes | None) -> list[int] | None:
+    """Numbers of the page objects in order, by the page tree; null for what isn't a readable PDF."""
+    try:
+        if b"%PDF-" not in (data or b"")[:1024]:
+            return None
+        objects = pdf_objects(data)
+        trees = {k for k, v in objects.items() if _TREE.search(v)}
+        kids = {k: [int(x) for x in re.findall(rb"([0-9]+)\s+[0-9]+\s+R", (re.search(rb"/Kids\s*\[(.*?)\]", objects[k], re.S) or [b"", b""])[1])] for k in trees}
+        roots = [int(m[1]) for v in objects.values() if re.search(rb"/Type\s*/Catalog\b", v) for m in [re.search(rb"/Pages\s+([0-9]+)\s+[0-9]+\s+R", v)] if m]
+        order, seen, todo = [], set(), [r for r in roots[-1:] if r in trees]
+        while todo:
+            k = todo.pop()
+            if k in seen:
+                continue
+            seen.add(k)
+            if k in trees:
+                todo += reversed(kids[k])
+            elif _PAGE.search(objects.get(k, b"")):
+                order.append(k)
+        # without a tree that leads to them, the page objects themselves
+        return order or sorted(k for k, v in objects.items() if _PAGE.search(v)) or None
+    except (zlib.error, ValueError, TypeError, IndexError):
+        return None
+
+
+def pdf_part(data: bytes, pages: list[int]) -> bytes:
+    """The PDF with these of its page objects only, as an update at its end: a new catalog and page tree, all other objects as they were."""
+    objects = pdf_objects(data)
+    top = max(objects) + 1
+    former = re.findall(rb"startxref\s+([0-9]+)", data)
+    out = bytearray(data if data.endswith(b"\n") else data + b"\n")
+    new = {top: b"<</Type/Catalog/Pages %d 0 R>>" % (top + 1), top + 1: b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % p for p in pages))}
+    places = {}
+    for number, body in new.items():
+        places[number] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, body)
+    table = len(out)
+    out += b"xref\n%d 2\n%010d 00000 n \n%010d 00000 n \n" % (top, places[top], places[top + 1])
+    out += b"trailer\n<</Size %d/Root %d 0 R%s>>\nstartxref\n%d\n%%%%EOF\n" % (top + 2, top, b"/Prev %s" % former[-1] if former else b"", table)
+    return bytes(out)
+
+
+def page_counts(files: DataFrame, column: str = "content", out: str = "pages") -> DataFrame:
+    """files with their numbers of pages; null for what isn't a readable PDF."""
+    at = files.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [pages and len(pages) for pages in (pdf_pages(x) for x in b.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int32())], [*b.schema.names, out])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField(out, IntegerType())]))
+
+
+def ocr_texts(files: DataFrame, key: str, name: str | tuple[str, ...] = "mock", config: Config = DEFAULT, column: str = "content") -> DataFrame:
+    """(key, pages, text, error) of whole PDF files: one call for up to pages_per_ocr_call pages, else one for each such part of the file, in order.
+
+    Blank results are dropped, the others joined by line ends. Unreadable files have null pages; a failed call gives its file the error's first characters.
+    """
+    make, size, limit = maker(name), config.pages_per_ocr_call, config.error_chars
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for b in batches:
+            rows = []
+            for data in b.column(1).to_pylist():
+                pages, text, error = pdf_pages(data), None, None
+                if pages:
+                    parts = [data] if len(pages) <= size else [pdf_part(data, pages[k : k + size]) for k in range(0, len(pages), size)]
+                    try:
+                        text = "\n".join(t for p in parts for t in model.ocr([p]) if t)
+                    except Exception as e:  # noqa: BLE001  any failure of a provider
+                        error = str(e)[:limit]
+                rows.append((pages and len(pages), text, error))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.string(), pa.string()], strict=True))], [key, "pages", "text", "error"])
+
+    made = [StructField("pages", IntegerType()), StructField("text", StringType()), StructField("error", StringType())]
+    return files.select(key, column).mapInArrow(run, StructType([files.schema[key], *made]))
+
+
+def located(paths: DataFrame, files: DataFrame, base: str, column: str = "path") -> DataFrame:
+    """paths with `located`: the path itself if it is absolute and among files(path), else the one under base if that is; null if neither."""
+    given = F.col(column)
+    full = F.when(F.startswith(given, F.lit("/")), given).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), given))
+    there = files.select(F.regexp_replace("path", "^file:/*", "/").alias("located")).distinct()
+    return paths.withColumn("full_", full).join(there, F.col("full_") == F.col("located"), "left").drop("full_")
 
 
 def page_ranges(pages: Column, config: Config = DEFAULT) -> Column:
@@ -31,11 +142,13 @@ def page_ranges(pages: Column, config: Config = DEFAULT) -> Column:
     return F.when(pages > 0, F.transform(F.sequence(F.lit(0), pages - 1, F.lit(size)), lambda s: F.struct(s.alias("first"), F.least(s + size - 1, pages - 1).alias("last")))).otherwise(F.expr("cast(array() as array<struct<first:int,last:int>>)"))
 
 
-def page_texts(pages: DataFrame, key: str, name: str = "mock", config: Config = DEFAULT) -> DataFrame:
+def page_texts(pages: DataFrame, key: str, name: str | tuple[str, ...] = "mock", config: Config = DEFAULT) -> DataFrame:
     """(key, text) of pages(key, page, content): OCR in groups of neighbouring pages, blank results dropped, joined in order."""
 
+    make = maker(name)
+
     def run(batches):
-        ocr = provider(name).ocr
+        ocr = make().ocr
         for b in batches:
             b["text"] = ["\n".join(t for t in ocr([bytes(c) for c in group]) if t) for group in b["contents"]]
             yield b[[key, "call", "text"]]
