@@ -23,34 +23,39 @@ def extracted(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def stale_jobs(heartbeats: DataFrame, config: Config = DEFAULT, delay: str = "10 seconds") -> DataFrame:
     """(job, status, at) for heartbeats(job, at, status): a job ends with its first terminal status, or as failed_timeout once the watermark is stale_after_s past its last heartbeat.
 
-    State is a timestamp and a status for each job, dropped when it ends; a job that has ended stays ended within the watermark's delay.
+    State is a timestamp and a mark for each job. A job that has ended keeps its mark until the watermark is stale_after_s past its
+    last heartbeat, so that late or repeated heartbeats don't open it anew; rows older than the watermark never come.
     """
     wait = config.stale_after_s * 1000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (job,) = key
         if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
+            last, over = state.get
+            if over:
+                state.remove()
+                return
+            # the watermark may still let heartbeats in that are later than the last
+            state.update((last, True))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + wait)
             yield pd.DataFrame({"job": [job], "status": ["failed_timeout"], "at": [pd.Timestamp(last, unit="us")]})
             return
-        last, ended = (state.get[0] if state.exists else None), None
+        (last, over), ended = (state.get if state.exists else (None, False)), None
         for b in batches:
             for at, status in sorted(zip(b["at"], b["status"], strict=True)):
                 micros = int(at.value // 1000)
                 last = micros if last is None else max(last, micros)
                 if status in TERMINAL and ended is None:
                     ended = (status, at)
-        if ended:
-            if state.exists:
-                state.remove()
+        if last is None:
+            return
+        state.update((last, over or ended is not None))
+        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        if ended and not over:
             yield pd.DataFrame({"job": [job], "status": [ended[0]], "at": [ended[1]]})
-        elif last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
 
     rows = heartbeats.where(F.col("status").isin(*RUNNING, *TERMINAL)).withWatermark("at", delay)
-    return rows.groupBy("job").applyInPandasWithState(step, "job long, status string, at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("job").applyInPandasWithState(step, "job long, status string, at timestamp", "last long, over boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def request_rates(events: DataFrame, key: str, at: str, tokens: str, config: Config = DEFAULT, slide: str = "10 seconds", late: str = "1 minute") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quizmill import config, providers, schemas
 from quizmill.functions import parsing, vectors
-from quizmill.operators import export, lifecycle, retrieval, selection, serving, style
+from quizmill.operators import export, lifecycle, pages, retrieval, selection, serving, style
 from quizmill.sources import files
 
 GOOD = {"A": "a", "B": "b", "C": "c", "D": "d"}
@@ -166,10 +166,10 @@ def test_extraction_results(spark):
 
 
 def test_pdf_source(spark, tmp_path):
-    (tmp_path / "a.PDF").write_bytes(b"%PDF-1.4 /Type /Page x /Type/Page /Type /Pages")
+    (tmp_path / "a.PDF").write_bytes(pdf(2))
     (tmp_path / "b.pdf").write_bytes(b"junk")
     (tmp_path / "c.txt").write_bytes(b"no")
-    got = {r["path"][-5:]: r["n"] for r in files.pdf_files(spark, str(tmp_path)).select("path", files.page_count(F.col("content")).alias("n")).collect()}
+    got = {r["path"][-5:]: r["pages"] for r in files.page_counts(files.pdf_files(spark, str(tmp_path))).select("path", "pages").collect()}
     assert got == {"a.PDF": 2, "b.pdf": None}
 
 
@@ -184,35 +184,262 @@ def test_styles_and_outlines(spark):
     assert len(got) == 1 and got[0]["outline"].split("\n")[9] == "Chunk 10: text of chunk 9" and len(got[0]["outline"].split("\n")) == 10
 
 
-def test_failed_batches_go_one_by_one(spark):
-    class Fragile(providers.MockProvider):
+def test_registered_providers_run_on_workers_and_failed_batches_go_one_by_one(spark):
+    class Here(providers.MockProvider):
         def summarize(self, texts):
             if len(texts) > 1 or texts == ["bad"]:
                 raise RuntimeError
             return [t.upper() for t in texts]
 
-    providers.register("fragile", Fragile)
-    rows = spark.createDataFrame([("a",), ("bad",), ("c",)], "t string").coalesce(1)
-    providers_got = [r["o"] for r in rows.mapInPandas(_mapped_with(Fragile), "t string, o string").collect()]
-    assert providers_got == ["A", None, "C"]
+        def validate(self, questions):
+            if len(questions) > 1 or "bad" in questions[0]:
+                raise RuntimeError
+            return [{"is_valid": True, "quality_score": 0.9, "critique": questions[0]}]
+
+    providers.register("fragile", Here)
+    rows = spark.createDataFrame([("a",), ("bad",), (None,), ("c",)], "t string").coalesce(1)
+    assert [r["o"] for r in providers.mapped(rows, "t", "o", "summarize", "fragile").collect()] == ["A", None, None, "C"]
+    verdicts = [tuple(r["v"]) for r in providers.mapped(rows, "t", "v", "validate", "fragile").collect()]
+    assert verdicts == [(True, 0.9, "a"), (False, 0.5, ""), (False, 0.5, ""), (True, 0.9, "c")]
     assert isinstance(providers.provider("missing"), providers.MockProvider)
+    with pytest.raises(ValueError):
+        providers.mapped(rows, "t", "o", "summarize", "missing")
+
+
+def test_short_answers_are_padded_and_slow_ones_given_up(spark):
+    class Short(providers.MockProvider):
+        def validate(self, questions):
+            return [{"is_valid": True, "quality_score": 1.0, "critique": "x"}]
+
+        def summarize(self, texts):
+            import time
+
+            time.sleep(5 if texts == ["slow"] else 0)
+            return texts
+
+    providers.register("short", Short)
+    rows = spark.createDataFrame([("a",), ("slow",), ("c",)], "t string").coalesce(1)
+    assert [tuple(r["v"]) for r in providers.mapped(rows, "t", "v", "validate", "short").collect()] == [(True, 1.0, "x"), (False, 0.5, ""), (False, 0.5, "")]
+    assert [r["o"] for r in providers.mapped(rows, "t", "o", "summarize", "short", 1, limit_s=1.0).collect()] == ["a", None, "c"]
+
+
+def test_generation_asks_again_until_there_are_questions(spark):
+    class Late(providers.MockProvider):
+        def __init__(self):
+            self.asked = {}
+
+        def generate(self, texts, n, slugs, level=None, style=None):
+            out = []
+            for t in texts:
+                self.asked[t] = self.asked.get(t, 0) + 1
+                made = providers.MockProvider().generate([t], n, slugs, level, style)[0]
+                out.append("```json\n" + made + "\n```" if self.asked[t] >= {"one": 1, "three": 3}.get(t, 9) else "sorry")
+            return out
+
+    providers.register("late", Late)
+    rows = spark.createDataFrame([("one",), ("three",), ("never",)], "t string").coalesce(1)
+    got = {r["t"]: (providers.some_questions(r["raw"]), r["attempts"]) for r in providers.asked_until(rows, "t", (2, ["polity"]), "late").collect()}
+    assert got == {"one": (True, 1), "three": (True, 3), "never": (False, 3)}
+
+
+def test_generated_by_a_registered_provider(spark, sf):
+    from dataclasses import replace
+
+    from quizmill.plans.generate import generated
+
+    class Strict(providers.MockProvider):
+        def validate(self, questions):
+            return [{"is_valid": "Question 1 " in q, "quality_score": 0.9, "critique": "fine" if "Question 1 " in q else "incorrect key"} for q in questions]
 
+        def summarize(self, texts):
+            return ["head"] * len(texts)
+
+        def generate(self, texts, n, slugs, level=None, style=None):
+            found = super().generate(texts, n, slugs, level, style)
+            return [f.replace("main idea", "outline" if t.startswith("Document outline:\nChunk 1: head") else "main idea") for f, t in zip(found, texts)]
+
+    providers.register("strict", Strict)
+    rows = generated(spark, sf, name="strict", level="Hard").collect()
+    assert rows and all(r["question"].startswith("[Mock] Question 1 ") and r["quality_score"] == 0.9 and r["difficulty"] == "hard" for r in rows)
+    long = generated(spark, sf, config=replace(config.DEFAULT, use_global_outline=True), name="strict").collect()
+    assert len(long) == len(rows) and 0 < sum("outline" in r["question"] for r in long) < len(long)
 
-def _mapped_with(cls):
-    def run(batches):
-        providers.register("fragile", cls)
-        call = cls().summarize
-        for b in batches:
+
+def test_chains_on_workers_and_refusals(spark):
+    class Down(providers.MockProvider):
+        def summarize(self, texts):
+            raise RuntimeError("model not found (404)")
+
+    class Prim(providers.MockProvider):
+        def __init__(self, guarded=True):
+            self.guarded = guarded
+
+        def unguarded(self):
+            return type(self)(False)
+
+        def summarize(self, texts):
+            if self.guarded:
+                raise RuntimeError("blocked for safety")
+            return [f"plain {t}" for t in texts]
+
+    class Slow(providers.MockProvider):
+        def summarize(self, texts):
+            import time
+
+            time.sleep(3)
+            return texts
+
+    providers.register("down", Down)
+    providers.register("prim", Prim)
+    providers.register("slow", Slow)
+    rows = spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1)
+    assert [r["o"] for r in providers.mapped(rows, "t", "o", "summarize", ("down", "prim")).collect()] == ["plain a", "plain b"]
+    with pytest.raises(TimeoutError):
+        providers.Chain("slow", "mock", limit_s=0.2).summarize(["x"])
+
+
+def test_styles_are_given_up_after_a_time(spark):
+    class Sleepy(providers.MockProvider):
+        def summarize(self, texts):
+            import time
+
+            time.sleep(4)
+            return texts
+
+    providers.register("sleepy", Sleepy)
+    papers = spark.createDataFrame([("What is the meaning of this question?",)], "text string")
+    assert [r["profile"] for r in style.style_profiles(papers, name="sleepy", limit_s=0.5).collect()] == [None]
+
+
+def pdf(pages, compressed=False):
+    """A PDF with a two-level tree of pages, its dictionaries in an object stream if compressed."""
+    import zlib
+
+    half = pages // 2
+    objects = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [3 0 R 4 0 R] /Count %d>>" % pages}
+    numbers = list(range(10, 10 + pages))
+    for k, part in ((3, numbers[:half]), (4, numbers[half:])):
+        objects[k] = b"<</Type/Pages/Parent 2 0 R/Count %d/Kids[%s]>>" % (len(part), b" ".join(b"%d 0 R" % n for n in part))
+    for n in numbers:
+        objects[n] = b"<</Type/Page/Parent 3 0 R/MediaBox[0 0 9 9]/Mark(page %d)>>" % (n - 10)
+    if not compressed:
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer<</Root 1 0 R>>\nstartxref\n9\n%%EOF\n"
+    heads, body = [], b""
+    for n, x in objects.items():
+        heads.append(b"%d %d" % (n, len(body)))
+        body += x + b" "
+    first = b" ".join(heads) + b" "
+    packed = zlib.compress(first + body)
+    return b"%%PDF-1.5\n99 0 obj\n<</Type/ObjStm/N %d/First %d/Filter/FlateDecode/Length %d>>stream\n%s\nendstream\nendobj\nstartxref\n0\n%%%%EOF\n" % (len(objects), len(first), len(packed), packed)
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_pdf_pages_are_counted_and_split(spark, compressed):
+    from pyspark.sql import Row
+
+    class Reader(providers.MockProvider):
+        def ocr(self, parts):
             out = []
-            for t in b["t"]:
-                try:
-                    out += call([t])
-                except RuntimeError:
-                    out.append(None)
-            b["o"] = out
-            yield b
-
-    return run
+            for p in parts:
+                numbers, objects = files.pdf_pages(p), files.pdf_objects(p)
+                out.append(" ".join(objects[n].decode().split("(page ")[1].split(")")[0] for n in numbers))
+            return out
+
+    providers.register("reader", Reader)
+    made = {"long": pdf(30, compressed), "short": pdf(14, compressed), "junk": b"junk", "none": None, "broken": b"%PDF-1.4 nothing"}
+    rows = spark.createDataFrame([Row(k=k, content=bytearray(v) if v is not None else None) for k, v in made.items()], "k string, content binary")
+    counts = {r["k"]: r["pages"] for r in files.page_counts(rows).collect()}
+    assert counts == {"long": 30, "short": 14, "junk": None, "none": None, "broken": None}
+    got = {r["k"]: r["text"] for r in files.ocr_texts(rows, "k", "reader").collect()}
+    assert got["long"] == "\n".join(" ".join(map(str, range(30)[a : a + 14])) for a in (0, 14, 28)) and got["short"] == " ".join(map(str, range(14)))
+    assert got["junk"] is got["none"] is None
+
+
+def test_ocr_failures_are_told(spark):
+    class Broken(providers.MockProvider):
+        def ocr(self, parts):
+            raise RuntimeError("x" * 900)
+
+    providers.register("broken_ocr", Broken)
+    rows = spark.createDataFrame([("a", bytearray(pdf(2)))], "k string, content binary")
+    found = files.ocr_texts(rows, "k", "broken_ocr").first()
+    assert found["text"] is None and found["error"] == "x" * 512
+
+
+def test_located(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(pdf(2))
+    listing = files.pdf_files(spark, str(tmp_path))
+    asked = spark.createDataFrame([("a.pdf",), (f"{tmp_path}/a.pdf",), ("b.pdf",), ("/no/a.pdf",), (None,)], "path string")
+    got = {r["path"]: r["located"] for r in files.located(asked, listing, str(tmp_path)).collect()}
+    full = f"{tmp_path}/a.pdf"
+    assert got == {"a.pdf": full, full: full, "b.pdf": None, "/no/a.pdf": None, None: None}
+
+
+def test_seen_runs_retry_review_and_end(spark):
+    class Eye(providers.MockProvider):
+        calls = 0
+
+        def see(self, images, n):
+            type(self).calls += 1
+            if images[0] == b"odd" and type(self).calls % 2:
+                return "nothing", 10
+            return super().see(images, n)[0], 60
+
+        def review(self, raw):
+            return raw.replace("[Mock]", "[Read]"), 5
+
+    providers.register("eye", Eye)
+    rows = [(k, p, b"odd" if (k, p) == (1, 0) else b"page") for k in (1, 2) for p in range(8)]
+    images = spark.createDataFrame(rows, "k long, page int, content binary").coalesce(1)
+    free = lambda: pages.Throttle(10**9, 60)
+    got = sorted((r["k"], r["batch"], "[Read]" in r["raw"], r["tokens"]) for r in pages.seen_run(images, "k", 2, "eye", throttle=free).collect())
+    assert got == [(1, 0, True, 75), (1, 1, True, 65), (1, 2, True, 65), (2, 0, True, 65), (2, 1, True, 65), (2, 2, True, 65)]
+    ended = sorted((r["k"], r["batch"]) for r in pages.seen_run(images, "k", 2, "eye", limit=100, throttle=free).collect())
+    assert ended == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_throttle_waits_for_room():
+    now, slept = [0.0], []
+    t = pages.Throttle(100, 60, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    for _ in range(3):
+        t.wait()
+        t.add(60)
+        now[0] += 1
+    assert slept == [58.0]
+
+
+def test_at_most_three_jobs_run(spark):
+    import threading
+    import time
+
+    from quizmill.operators.running import Jobs
+
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def work(k):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.3)
+        with lock:
+            now[0] -= 1
+        return spark.range(k).count()
+
+    jobs = Jobs(spark)
+    found = [jobs.enqueue(f"job{k}", lambda k=k: work(k)) for k in range(8)]
+    assert jobs.enqueue("job7", lambda: 1) is found[7]
+    assert [f.result(60) for f in found] == list(range(8)) and most[0] == 3
+    with pytest.raises(ZeroDivisionError):
+        jobs.enqueue("bad", lambda: 1 // 0).result(60)
+    jobs.close()
+
+
+def test_exports_are_files(spark, tmp_path):
+    docs = spark.createDataFrame([(1, '{"a": 1}'), (2, "{}")], "test_id long, json string")
+    export.write_exports(docs, "test_id", str(tmp_path / "exports"))
+    export.write_exports(docs.where("test_id = 1"), "test_id", str(tmp_path / "exports"))
+    got = {d.name: "".join(f.read_text() for f in d.glob("part-*")) for d in (tmp_path / "exports").glob("test_id=*")}
+    assert got == {"test_id=1": '{"a": 1}\n', "test_id=2": "{}\n"}
 
 
 def test_embeddings_are_deterministic(spark):

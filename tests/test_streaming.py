@@ -38,6 +38,13 @@ def test_stale_jobs_time_out_and_ended_ones_do_not(stream):
     assert sorted((r["job"], r["status"]) for r in rows) == [(1, "failed_timeout"), (2, "completed")]
 
 
+def test_late_heartbeats_open_no_ended_job(stream):
+    batches = [[(1, at(0), "generating")], [(1, at(5), "completed")], [(1, at(6), "generating"), (1, at(4), "failed")], [(2, at(1500), "pending")], [(3, at(1600), "pending")], [(4, at(4000), "pending")], [(5, at(4100), "pending")]]
+    rows = stream(batches, "job long, at timestamp, status string", jobs.stale_jobs)
+    assert sorted((r["job"], r["status"]) for r in rows if r["job"] == 1) == [(1, "completed")]
+    assert (2, "failed_timeout") in {(r["job"], r["status"]) for r in rows}
+
+
 def test_request_rates(stream):
     batches = [[("a", at(k), 10_000) for k in range(3)], [("a", at(500), 1)], [("a", at(900), 1)]]
     rows = stream(batches, "k string, ts timestamp, n long", lambda s: jobs.request_rates(s, "k", "ts", "n"))
