@@ -1,9 +1,10 @@
 """Benchmark decontamination by a positional inverted index of the training tokens.
 
 The index has a posting (row, position, term) for every training token whose word occurs in some test item; other words
-can't be in a match. It is stored by document. A query intersects offset-adjusted posting lists: the rarest term of
-each window of an item gives candidate alignments (position minus offset), the postings of the other terms are then looked
-up at these alignments only. Everything is a DataFrame operation; nothing is collected but counts.
+can't be in a match. It is stored by document. A query intersects offset-adjusted posting lists from the rarest: the rarest term of
+each window of an item gives candidate alignments (position minus offset), of which those stay that the next rarest terms' lists have too,
+one list after the other; the postings of all other terms are then looked up at the alignments that are left. Everything is a DataFrame
+operation; nothing is collected but counts.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .stage import table, unwrapped, whole, with_broadcast_if, written
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Test-side tables of at most so many rows are broadcast (some tens of MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Lists that are intersected one after the other; the alignments that are left are looked up in the rest at once.
+RANKS = 3
 
 
 def words(text):
@@ -68,24 +71,37 @@ def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def _anchors(index: PositionalIndex, size: int) -> DataFrame:
-    """(item, off, term, low, high): the rarest term of each window; low to high are the offsets of all windows it is for."""
+    """(item, offs, terms, low, high): the RANKS rarest terms of each window, the rarest first; low to high are the offsets of all windows they are for."""
     frequency = index.lists.groupBy("term").agg(F.count("*").alias("df"))
     known = index.phrases.join(frequency, "term", "left")
     per_item = known.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("off", F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("a"))
     per_item = per_item.withColumn("size", F.least("n", F.lit(size)))
     starts = F.sequence(F.lit(0), F.col("n") - F.col("size"))
-    rarest = F.transform(starts, lambda s: F.struct(s.alias("s"), F.array_min(F.transform(F.slice("a", s + 1, F.col("size")), lambda x: F.struct(x["df"], x["off"], x["term"]))).alias("m")))
-    each = per_item.select("item", "size", F.explode(rarest).alias("r")).select("item", "size", "r.s", "r.m.*")
+    ranked = lambda s: F.slice(F.array_sort(F.transform(F.slice("a", s + 1, F.col("size")), lambda x: F.struct(x["df"], x["off"], x["term"]))), 1, RANKS)
+    each = per_item.select("item", "size", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), ranked(s).alias("r")))).alias("w"))
     # a window with a term that no document has can't occur
-    each = each.where("df > 0").groupBy("item", "off", "term", "size").agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    return written(each.select("item", "off", "term", "low", (F.col("high") + F.col("size") - 1).alias("high")), "anchors")
+    each = each.where(F.col("w.r")[0]["df"] > 0).select("item", "size", "w.s", F.col("w.r.off").alias("offs"), F.col("w.r.term").alias("terms"))
+    each = each.groupBy("item", "offs", "terms", "size").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    return written(each.select("item", "offs", "terms", "low", (F.col("high") + F.col("size") - 1).alias("high")), "anchors")
+
+
+def _alignments(index: PositionalIndex, size: int) -> DataFrame:
+    """(row, item, shift, low, high): where the rarest terms of a window stand in a document as they do in the item."""
+    anchors = _anchors(index, size)
+    first = with_broadcast_if(anchors.withColumn("term", F.col("terms")[0]), BROADCAST_ROWS)
+    alive = index.lists.join(first, "term").select("row", "item", (F.col("pos") - F.col("offs")[0]).alias("shift"), "offs", "terms", "low", "high")
+    for k in range(1, RANKS):
+        alive = written(alive, f"alignments{k}")
+        some = anchors.where(F.size("terms") > k)
+        mine = index.lists.join(with_broadcast_if(some.select(F.col("terms")[k].alias("term")).distinct(), BROADCAST_ROWS), "term", "left_semi")
+        asked = alive.where(F.size("terms") > k).withColumn("pos", F.col("shift") + F.col("offs")[k]).withColumn("term", F.col("terms")[k])
+        alive = asked.join(mine, ["row", "pos", "term"], "left_semi").drop("pos", "term").unionByName(alive.where(F.size("terms") <= k))
+    return written(alive.select("row", "item", "shift", "low", "high"), "alignments")
 
 
 def exact_matches(index: PositionalIndex, size: int = 10) -> DataFrame:
     """(row, item, first, last): maximal runs of at least `size` consecutive item words (all of a shorter item's) in a document."""
-    anchors = _anchors(index, size)
-    starts = index.lists.join(with_broadcast_if(anchors, BROADCAST_ROWS), "term")
-    starts = starts.select("row", "item", (F.col("pos") - F.col("off")).alias("shift"), "low", "high")
+    starts = _alignments(index, size)
     # two anchors of an alignment may ask for the same offsets
     probes = starts.select("row", "item", "shift", F.explode(F.sequence("low", "high")).alias("off")).distinct()
     phrases = index.phrases.select("item", "off", "term", "n")
