@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import table, unwrapped, whole, with_broadcast_if, written
+from .stage import small_enough, table, unwrapped, whole, with_broadcast_if, written
 
 #: What stands between words, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -94,6 +94,9 @@ def _alignments(index: PositionalIndex, size: int) -> DataFrame:
         alive = written(alive, f"alignments{k}")
         some = anchors.where(F.size("terms") > k)
         mine = index.lists.join(with_broadcast_if(some.select(F.col("terms")[k].alias("term")).distinct(), BROADCAST_ROWS), "term", "left_semi")
+        rows = alive.select("row").distinct()
+        if k > 1 and small_enough(rows, BROADCAST_ROWS):  # few documents are left: only their postings needn't stay where they are
+            mine = mine.join(F.broadcast(rows), "row", "left_semi")
         asked = alive.where(F.size("terms") > k).withColumn("pos", F.col("shift") + F.col("offs")[k]).withColumn("term", F.col("terms")[k])
         alive = asked.join(mine, ["row", "pos", "term"], "left_semi").drop("pos", "term").unionByName(alive.where(F.size("terms") <= k))
     return written(alive.select("row", "item", "shift", "low", "high"), "alignments")
