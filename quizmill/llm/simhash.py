@@ -23,7 +23,7 @@ from .components import connected
 from .stage import released, sliced, table, unique_ids, unwrapped, whole, with_broadcast_if, written
 
 #: Fingerprints of a tile at most, about. A task holds two tiles and CHUNK distances.
-TILE, CHUNK = 16384, 2_000_000
+TILE, CHUNK = 32768, 2_000_000
 #: Pairs of a tile pair from which sub-tiles pay.
 SUBTILED = 1_000_000
 #: Hashes of a text that are counted at once.
