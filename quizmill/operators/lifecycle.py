@@ -68,13 +68,13 @@ def ticked(done: Column, total: Column, ticks: Column) -> Column:
     return F.when(total <= 1, F.lit(0)).when(ticks <= 0, done).otherwise(F.least(done + ticks, total - 1))
 
 
-def stale(status: Column, updated: Column, created: Column, now: Column, timeout: Column, config: Config = DEFAULT) -> Column:
-    return status.isin(RUNNING) & (age_s(F.coalesce(updated, created), now) > F.coalesce(timeout, F.lit(config.stale_after_s)))
+def stale(status: Column, updated: Column, created: Column, now: Column, timeout: Column, config: Config = DEFAULT, running: list[str] = RUNNING) -> Column:
+    return status.isin(running) & (age_s(F.coalesce(updated, created), now) > F.coalesce(timeout, F.lit(config.stale_after_s)))
 
 
-def swept(rows: DataFrame, now: Column, timeout: Column, failed: str = "failed_timeout") -> DataFrame:
-    """rows(status, updated_at, created_at) with stale ones failed."""
-    gone = stale(F.col("status"), F.col("updated_at"), F.col("created_at"), now, timeout)
+def swept(rows: DataFrame, now: Column, timeout: Column, failed: str = "failed_timeout", running: list[str] = RUNNING) -> DataFrame:
+    """rows(status, updated_at, created_at) with stale ones failed: those of the running states whose last sign of life is too long ago."""
+    gone = stale(F.col("status"), F.col("updated_at"), F.col("created_at"), now, timeout, running=running)
     return rows.withColumn("status", F.when(gone, failed).otherwise(F.col("status")))
 
 

@@ -244,6 +244,19 @@ def stale_sweep(spark, sf):
     return rows.select("user_id", text.age_s(F.col("updated_at"), now).alias("age"), "status")
 
 
+@query(
+    f"""WITH h AS (SELECT user_id, max(ts) AS last, count(*) AS beats FROM events GROUP BY user_id)
+    SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'ready' WHEN epoch(TIMESTAMP '{NOW}') - floor(epoch(last)) > 1200 THEN 'extraction_failed' ELSE 'processing' END AS status, CAST(CASE WHEN user_id % 4 = 1 THEN 0 ELSE beats END AS BIGINT) AS progress_page FROM h"""
+)
+def stale_documents(spark, sf):
+    """L6: documents whose extraction gives no sign of life"""
+    k = F.col("user_id")
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("updated_at"), F.count("*").alias("beats"))
+    rows = rows.withColumn("status", F.when(k % 2 == 0, "ready").otherwise("processing")).withColumn("created_at", F.lit(None).cast("timestamp")).withColumn("page", F.when(k % 4 != 1, F.col("beats")))
+    gone = lifecycle.swept(rows, F.lit(NOW).cast("timestamp"), F.lit(None).cast("int"), "extraction_failed", ["processing"])
+    return gone.select("user_id", "status", F.coalesce("page", F.lit(0)).cast("long").alias("progress_page"))
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 def inflight_conflict(spark, sf):
     """P4"""

@@ -375,6 +375,24 @@ def truncations(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.inline_outer(F.array(both)), text.short_error(F.col("text")).alias("error"))
 
 
+@query("SELECT doc_id, regexp_replace(md5(CAST(doc_id AS VARCHAR) || chr(31) || text), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS id FROM documents")
+def stable_ids(spark, sf):
+    """T25: ids that the same rows always get"""
+    return table(spark, sf, "documents").select("doc_id", text.stable_id(F.col("doc_id").cast("string"), F.col("text")).alias("id"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS page, unnest(string_split(text, chr(10))) AS t FROM documents)
+    SELECT doc_id, string_agg(trim(t), chr(10) || chr(10) ORDER BY page) AS text FROM p WHERE trim(t) <> '' GROUP BY doc_id"""
+)
+def reference_papers(spark, sf):
+    """S6 (a line is a page here)"""
+    from ..sources.files import paper_text
+
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    return paper_text(rows, "doc_id")
+
+
 @query()
 def embedded_retrieval(spark, sf):
     """M1, O2: chunks by the mock's embeddings, against the topic query's"""
