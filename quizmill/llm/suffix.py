@@ -29,6 +29,8 @@ LENGTH, GRAM = 100, 32
 CHUNK, SHARD, HOT = 1 << 19, 1 << 20, 20_000
 #: So many row numbers, and digests or strings of LENGTH bytes, may be broadcast (some tens of MB).
 BROADCAST_ROWS, BROADCAST_KEYS, END = 1_000_000, 200_000, 1 << 62
+#: Suffixes a bucket, on average, from which vector operations by bucket pay.
+WAVES = 128
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TAIL = np.uint64((1 << 20) - 1)
 
@@ -69,9 +71,18 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def _order(chars: np.ndarray) -> np.ndarray:
+    """The stable order of chars below 2^32, by 16 bits at a time: numpy sorts these by their digits, in linear time."""
+    order = np.argsort(chars.astype(np.uint16), kind="stable")
+    high = chars >> 16
+    return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
+
+
 def _append(sa: np.ndarray, place: np.ndarray, chars: np.ndarray, items: np.ndarray, back: bool) -> None:
     """Items go to the next free places of their characters' buckets, in order (back: from the buckets' ends)."""
-    order = np.argsort(chars, kind="stable")
+    if not len(items):
+        return
+    order = _order(chars)
     c, x = chars[order], items[order]
     fresh = np.flatnonzero(np.diff(c, prepend=-1))
     sizes = np.diff(np.append(fresh, len(c)))
@@ -80,79 +91,96 @@ def _append(sa: np.ndarray, place: np.ndarray, chars: np.ndarray, items: np.ndar
     place[c[fresh]] += -sizes if back else sizes
 
 
-def _induce(t: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, seeds: np.ndarray, used: np.ndarray) -> np.ndarray:
+def _induce(t: np.ndarray, small: np.ndarray, heads: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Suffixes in the order that the sorted seeds (leftmost-smaller suffixes, the sentinel among them) induce.
 
-    Buckets go in order; within one, suffixes whose predecessors fall into the same bucket go in waves, each a vector operation.
+    heads: where each bucket begins, and the end. Large buckets go in order; within one, suffixes whose predecessors fall into it again go in
+    waves, each a vector operation. Many small buckets go suffix by suffix.
     """
-    n = len(t)
+    n, k = len(t), len(heads) - 1
     sa = np.full(n, -1, np.int64)
-    place = tails.copy()
-    _append(sa, place, t[seeds[::-1]], seeds[::-1], True)
-    lms_from = place + 1
-    place = heads.copy()
-    for c in used:
-        at, end = heads[c], tails[c] + 1
-        while at < place[c]:  # larger-type suffixes of this bucket
-            wave, at = sa[at : place[c]], place[c]
-            before = wave[wave > 0] - 1
-            before = before[~small[before]]
-            _append(sa, place, t[before], before, False)
-        wave = sa[lms_from[c] : end]
-        before = wave[wave > 0] - 1
-        before = before[~small[before]]
-        _append(sa, place, t[before], before, False)
-    filled = place  # ends of the larger-type parts
-    place = tails.copy()
-    for c in used[::-1]:
-        at = tails[c]
-        while at > place[c]:  # smaller-type suffixes of this bucket, from its end
-            wave, at = sa[place[c] + 1 : at + 1][::-1], place[c]
-            before = wave[wave > 0] - 1
-            before = before[small[before]]
-            _append(sa, place, t[before], before, True)
-        wave = sa[heads[c] : filled[c]][::-1]
-        before = wave[wave > 0] - 1
-        before = before[small[before]]
-        _append(sa, place, t[before], before, True)
+    _append(sa, heads[1:] - 1, t[seeds[::-1]], seeds[::-1], True)
+    if n < WAVES * k:
+        return _induce_singly(t, small, heads, sa)
+
+    def before(held: np.ndarray, smaller: bool) -> np.ndarray:
+        items = held[held > 0] - 1
+        return items[small[items] == smaller]
+
+    place = heads[:-1].copy()
+    for c in range(k):  # larger-type suffixes
+        at = heads[c]
+        while at < place[c]:
+            items, at = before(sa[at : place[c]], False), place[c]
+            _append(sa, place, t[items], items, False)
+        items = before(sa[at : heads[c + 1]], False)
+        _append(sa, place, t[items], items, False)
+    sa[1:][small[sa[1:]]] = -1
+    place = heads[1:] - 1
+    for c in range(k - 1, -1, -1):  # smaller-type suffixes, from the end
+        at = heads[c + 1] - 1
+        while at > place[c]:
+            items, at = before(sa[place[c] + 1 : at + 1][::-1], True), place[c]
+            _append(sa, place, t[items], items, True)
+        items = before(sa[heads[c] : at + 1][::-1], True)
+        _append(sa, place, t[items], items, True)
     return sa
 
 
-def _rank_names(names: np.ndarray) -> np.ndarray:
-    """The suffix order of the reduced text. Its alphabet is too large for buckets: ranks of doubled length until all differ."""
-    n, rank, width = len(names), names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.diff(key[order], prepend=-1) != 0
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        if fresh.all():
-            return order
-        width *= 2
+def _induce_singly(t: np.ndarray, small: np.ndarray, heads: np.ndarray, seeded: np.ndarray) -> np.ndarray:
+    chars, lower = t.tolist(), small.tolist()
+    sa, place = seeded.tolist(), heads[:-1].tolist()
+    for x in sa:  # grows as it goes
+        if x > 0 and not lower[x - 1]:
+            c = chars[x - 1]
+            sa[place[c]] = x - 1
+            place[c] += 1
+    place = (heads[1:] - 1).tolist()
+    for at in range(len(sa) - 1, 0, -1):
+        x = sa[at]
+        if x > 0 and lower[x - 1]:
+            c = chars[x - 1]
+            sa[place[c]] = x - 1
+            place[c] -= 1
+    return np.array(sa)
+
+
+def _order_names(names: np.ndarray) -> np.ndarray:
+    """The suffix order of a text of names, recursively. A name that occurs once ends every comparison that reaches it, so the names after it
+    up to the next that is repeated are left out of the recursion; suffixes that begin with such names are in the names' order."""
+    counts = np.bincount(names)
+    again = counts[names] > 1
+    kept = np.flatnonzero(again | np.append(False, again[:-1]))
+    inner = kept[suffix_array(names[kept])]
+    order = np.empty(len(names), np.int64)
+    repeated = np.repeat(counts > 1, counts)
+    order[repeated] = inner[again[inner]]
+    single = np.flatnonzero(~again)
+    order[~repeated] = single[_order(names[single])]
+    return order
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """The suffix array of t, small non-negative numbers, by induced sorting (a smallest sentinel is understood at the end)."""
+    """The suffix array of t, non-negative numbers, by induced sorting (a smallest sentinel is understood at the end).
+
+    Leftmost-smaller substrings are sorted by inducing them from their characters, then named in order; if names repeat, the
+    text of names, at most half as long, is sorted in the same way.
+    """
     t = np.append(t.astype(np.int64) + 1, 0)
     n = len(t)
+    sizes = np.bincount(t)
+    t = (np.cumsum(sizes > 0) - 1)[t]  # no empty buckets
+    heads = np.concatenate([[0], np.cumsum(sizes[sizes > 0])])
     step = np.sign(np.diff(t))
     settled = np.where(step != 0, np.arange(n - 1), n)
     settled = np.minimum.accumulate(settled[::-1])[::-1] if n > 1 else settled
     small = np.ones(n, bool)  # smaller type; the last step is always down to the sentinel
     small[:-1] = step[settled] > 0
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sizes = np.bincount(t)
-    tails = np.cumsum(sizes) - 1
-    heads = tails - sizes + 1
-    used = np.flatnonzero(sizes)
     if len(lms) <= 1:
-        return _induce(t, small, heads, tails, lms if len(lms) else np.array([n - 1]), used)[1:]
+        return _induce(t, small, heads, lms if len(lms) else np.array([n - 1]))[1:]
     # leftmost-smaller substrings in order, then named: equal ones alike
-    unsorted = lms[np.argsort(t[lms], kind="stable")]
-    sa = _induce(t, small, heads, tails, unsorted, used)
+    sa = _induce(t, small, heads, lms[_order(t[lms])])
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
@@ -168,9 +196,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         live = live[size_at[a[live]] >= k]
     names = np.zeros(n, np.int64)
     names[order] = np.concatenate([[0], np.cumsum(~same)])
-    reduced = names[lms]
-    sorted_lms = order if (~same).all() else lms[_rank_names(reduced)]
-    return _induce(t, small, heads, tails, sorted_lms, used)[1:]
+    sorted_lms = lms[_order_names(names[lms])] if same.any() else order
+    return _induce(t, small, heads, sorted_lms)[1:]
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -95,3 +95,16 @@ def test_anchors_depend_on_the_string_only():
 def test_merged():
     a, b = merged(np.array([5, 0, 3, 20]), np.array([8, 3, 4, 21]))
     assert a.tolist() == [0, 5, 20] and b.tolist() == [4, 8, 21]
+
+
+@pytest.mark.parametrize("waves", [0, 10**6])
+@pytest.mark.parametrize("letters", [2, 300, 100_000])
+def test_suffix_array_of_repeated_names_at_any_depth(monkeypatch, waves, letters):
+    """By buckets and suffix by suffix; texts that repeat whole, so that names repeat at every level."""
+    monkeypatch.setattr(suffix, "WAVES", waves)
+    rng = np.random.default_rng(letters)
+    for n in (0, 1, 40, 700):
+        t = rng.integers(0, letters, n)
+        t = np.concatenate([t, t, t[: n // 2], rng.integers(0, letters, n // 3), t])
+        values = t.tolist()
+        assert suffix_array(t).tolist() == sorted(range(len(values)), key=lambda i: values[i:])
