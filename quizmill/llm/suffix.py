@@ -128,18 +128,19 @@ def _induce(t: np.ndarray, small: np.ndarray, heads: np.ndarray, seeds: np.ndarr
 
 
 def _induce_singly(t: np.ndarray, small: np.ndarray, heads: np.ndarray, seeded: np.ndarray) -> np.ndarray:
-    chars, lower = t.tolist(), small.tolist()
-    sa, place = seeded.tolist(), heads[:-1].tolist()
+    lead = np.concatenate([[-1], t[:-1], [-1]])  # the character before each suffix; the last stands for free places
+    larger = np.append(False, ~small)  # whether the suffix before is of the larger type
+    larger[-1] = False
+    sa, place, goes = seeded.tolist(), heads[:-1].tolist(), np.where(larger, lead, -1).tolist()
     for x in sa:  # grows as it goes
-        if x > 0 and not lower[x - 1]:
-            c = chars[x - 1]
+        c = goes[x]
+        if c >= 0:
             sa[place[c]] = x - 1
             place[c] += 1
-    place = (heads[1:] - 1).tolist()
-    for at in range(len(sa) - 1, 0, -1):
-        x = sa[at]
-        if x > 0 and lower[x - 1]:
-            c = chars[x - 1]
+    place, goes = (heads[1:] - 1).tolist(), np.where(larger, -1, lead).tolist()
+    for x in reversed(sa):  # as far as it has come
+        c = goes[x]
+        if c >= 0:
             sa[place[c]] = x - 1
             place[c] -= 1
     return np.array(sa)
