@@ -98,7 +98,7 @@ def _induce(t: np.ndarray, small: np.ndarray, heads: np.ndarray, seeds: np.ndarr
     waves, each a vector operation. Many small buckets go suffix by suffix.
     """
     n, k = len(t), len(heads) - 1
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     _append(sa, heads[1:] - 1, t[seeds[::-1]], seeds[::-1], True)
     if n < WAVES * k:
         return _induce_singly(t, small, heads, sa)
@@ -143,7 +143,7 @@ def _induce_singly(t: np.ndarray, small: np.ndarray, heads: np.ndarray, seeded:
         if c >= 0:
             sa[place[c]] = x - 1
             place[c] -= 1
-    return np.array(sa)
+    return np.array(sa, np.int32)
 
 
 def _order_names(names: np.ndarray) -> np.ndarray:
@@ -167,10 +167,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     Leftmost-smaller substrings are sorted by inducing them from their characters, then named in order; if names repeat, the
     text of names, at most half as long, is sorted in the same way.
     """
-    t = np.append(t.astype(np.int64) + 1, 0)
+    t = np.append(t, -1).astype(np.int32) + 1
     n = len(t)
     sizes = np.bincount(t)
-    t = (np.cumsum(sizes > 0) - 1)[t]  # no empty buckets
+    t = (np.cumsum(sizes > 0) - 1).astype(np.int32)[t]  # no empty buckets
     heads = np.concatenate([[0], np.cumsum(sizes[sizes > 0])])
     step = np.sign(np.diff(t))
     settled = np.where(step != 0, np.arange(n - 1), n)
