@@ -11,6 +11,7 @@ from .pii import op6_pii
 from .quality import op3_quality
 from .simhash import op1_simhash
 from .suffix import op5_suffix_dedup
+from .vectorcodes import OP11_SQL, op11_vector_codes
 from .wavelet import op4_wavelet_tokens
 
 QUERIES = {
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_media": op10_media,
+    "op11_vector_codes": op11_vector_codes,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_chat_format": OP8_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_chat_format": OP8_SQL, "op11_vector_codes": OP11_SQL}
