@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
 from .decontam import OP2_SQL, op2_decontamination
+from .divergence import OP13_SQL, op13_source_divergence
 from .langid import op9_language_id
 from .media import op10_media
 from .packing import op7_best_fit_packing
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_media": op10_media,
     "op11_vector_codes": op11_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_chat_format": OP8_SQL, "op11_vector_codes": OP11_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_chat_format": OP8_SQL, "op11_vector_codes": OP11_SQL, "op13_source_divergence": OP13_SQL}
