@@ -12,6 +12,7 @@ from .pii import op6_pii
 from .quality import op3_quality
 from .simhash import op1_simhash
 from .suffix import op5_suffix_dedup
+from .toxicity import op12_toxicity
 from .vectorcodes import OP11_SQL, op11_vector_codes
 from .wavelet import op4_wavelet_tokens
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_media": op10_media,
     "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
     "op13_source_divergence": op13_source_divergence,
 }
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op8_chat_format": OP8_SQL, "op11_vector_codes": OP11_SQL, "op13_source_divergence": OP13_SQL}
