@@ -274,6 +274,12 @@ def throttled_progress(spark, sf):
     return lifecycle.throttled(rows, "done", "total")
 
 
+def latest_wins_log(spark, sf) -> DataFrame:
+    """(user_id, event_id, ts, status) of the events, as states of a job for each user."""
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("generating")
+    return table(spark, sf, "events").select("user_id", "event_id", "ts", status.alias("status"))
+
+
 def _rates(spark, sf, key: str, config=DEFAULT, split: bool = False) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", key, "ts", F.floor("value").cast("long").alias("spent"))
     return lifecycle.rate_limited(events, [key], "ts", F.col("spent"), config, split)
@@ -368,9 +374,7 @@ def patch_merge(spark, sf):
 )
 def latest_wins(spark, sf):
     """K4, L2: the first end of a job holds"""
-    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("generating")
-    log = table(spark, sf, "events").select("user_id", "event_id", "ts", status.alias("status"))
-    return lifecycle.latest(log, "user_id", "ts", "event_id", "status").select("user_id", "event_id", "status")
+    return lifecycle.latest(latest_wins_log(spark, sf), "user_id", "ts", "event_id", "status").select("user_id", "event_id", "status")
 
 
 @query("SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS heartbeat, count(*) AS beats FROM events GROUP BY user_id")
