@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, FAULTY_CRITIQUES, TOPICS
-from ..functions import chunking, parsing, text, vectors
+from ..functions import chunking, embedding, parsing, text, vectors
 from ..operators import lifecycle, retrieval, serving
 from ..providers import mock_mcqs, mock_tokens
 from ..sources.tables import table
@@ -393,16 +393,30 @@ def reference_papers(spark, sf):
     return paper_text(rows, "doc_id")
 
 
-@query()
-def embedded_retrieval(spark, sf):
-    """M1, O2: chunks by the mock's embeddings, against the topic query's"""
-    from ..providers import MockProvider, embedded
+GOAL_TAGS = [[], SLUGS[:1], [SLUGS[0], SLUGS[2]]]
+GOALS_SQL = ", ".join(f"({k}, 'UPSC questions on {named}: history, polity, economy concepts')" for k, named in enumerate(", ".join(tags) or "general studies" for tags in GOAL_TAGS))
+TOKENS = lambda c: f"unnest(list_filter(string_split_regex(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WS}+'), lambda x: x <> ''))"
+
 
-    goal = MockProvider().embed(["UPSC questions on polity: history, polity, economy concepts"])[0].tolist()  # one vector
-    parts = embedded(_fixed(spark, sf), "text")
-    near = vectors.cosine_to(parts.select("doc_id", "chunk_ix", "embedding"), "embedding", goal)
+@query(
+    f"""WITH {CHUNKS_CTE}, goals(goal_id, goal) AS (VALUES {GOALS_SQL}), tok AS (SELECT doc_id, chunk_ix, {TOKENS("text")} AS word FROM chunks), gtok AS (SELECT goal_id, {TOKENS("goal")} AS word FROM goals),
+    holding AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, chunk_ix, word FROM tok) GROUP BY word),
+    weights AS (SELECT word, CAST('0x' || substring(md5(word), 1, 7) AS BIGINT) % 64 AS dim, CASE WHEN substring(md5(word), 32, 1) < '8' THEN 1.0 ELSE -1.0 END * (ln((1.0 + (SELECT count(*) FROM chunks)) / (1 + n)) + 1) AS weight FROM holding),
+    v AS (SELECT doc_id, chunk_ix, dim, sum(weight) AS value FROM tok JOIN weights USING (word) GROUP BY doc_id, chunk_ix, dim),
+    a AS (SELECT goal_id, dim, sum(weight) AS aim FROM gtok JOIN weights USING (word) GROUP BY goal_id, dim),
+    s AS (SELECT doc_id, chunk_ix, round(coalesce(sum(value * aim), 0) / (sqrt(sum(value * value)) * any_value(l) + 1e-12), 9) + 0.0 AS sim
+      FROM v LEFT JOIN a ON a.goal_id = doc_id % 3 AND a.dim = v.dim JOIN (SELECT goal_id, sqrt(sum(aim * aim)) AS l FROM a GROUP BY goal_id) b ON b.goal_id = doc_id % 3 GROUP BY doc_id, chunk_ix),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, chunk_ix) AS k FROM s)
+    SELECT doc_id, CAST(chunk_ix AS BIGINT) AS chunk_ix, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_ix) AS BIGINT) AS place, round(sim, 6) AS similarity FROM r WHERE k <= 5"""
+)
+def embedded_retrieval(spark, sf):
+    """M1, O2: each document's chunks by vectors of their words, against what its own request asks for"""
+    parts = _fixed(spark, sf).withColumn("goal_id", F.col("doc_id") % 3)
+    asked = [text.retrieval_text(F.array(*map(F.lit, tags)).cast("array<string>")) for tags in GOAL_TAGS]
+    goals = spark.range(1).select(F.posexplode(F.array(*asked)).alias("goal_id", "goal")).withColumn("goal_id", F.col("goal_id").cast("long"))
+    near = embedding.similarities(parts, goals, ["doc_id", "chunk_ix"], "goal_id", "text", "goal")
     best = retrieval.top_by(near, ["doc_id"], F.col("similarity"), "chunk_ix", 5)
-    return best.select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.col("place").cast("long").alias("place"), F.round("similarity", 6).alias("similarity"))
+    return best.select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.col("place").cast("long").alias("place"), (F.round("similarity", 6) + F.lit(0.0)).alias("similarity"))
 
 
 @query(

@@ -8,7 +8,8 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions.text import LINE_END
+from ..functions.ranking import ranked
+from ..functions.text import LINE_END, unnested
 from ..operators import admission, lines, nearest
 from ..sources.tables import table
 from .registry import query
@@ -16,6 +17,7 @@ from .serving_queries import latest_wins_log
 from .text_queries import COS, LINES_CTE
 
 #: Users of the driver's events are slow: three calls in two days let some wait.
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 SLOW = replace(DEFAULT, rate_requests=3, rate_window_s=172_800)
 
 
@@ -23,13 +25,13 @@ SLOW = replace(DEFAULT, rate_requests=3, rate_window_s=172_800)
     """WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
     s AS (SELECT event_id, user_id, t, k, t AS start FROM r WHERE k <= 3
       UNION ALL SELECT r.event_id, r.user_id, r.t, r.k, greatest(r.t, s.start + 172800000000) FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 3)
-    SELECT event_id, user_id, start AS start_us, start - t AS wait_us FROM s"""
+    SELECT event_id, user_id, strftime(make_timestamp(start), '%Y-%m-%d %H:%M:%S.%f') AS start_at, start - t AS wait_us FROM s"""
 )
 def admission_times(spark, sf):
     """M9, W5: when each user's calls may start; pieces of ten days hand on their state"""
     calls = table(spark, sf, "events").select("event_id", "user_id", "ts")
     told = admission.admitted(calls, "user_id", "ts", "event_id", SLOW, piece_s=864_000)
-    return told.select("event_id", "user_id", F.unix_micros("start_at").alias("start_us"), "wait_us")
+    return told.select("event_id", "user_id", F.date_format("start_at", MICROS).alias("start_at"), "wait_us")
 
 
 @query(
@@ -85,3 +87,35 @@ def clean_lines(spark, sf):
     """W6, T2, T1 over a table of one line a row"""
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", LINE_END)).alias("line_ix", "line"))
     return lines.paragraph_lines(rows, "doc_id", "line_ix", "line", piece_lines=64)
+
+
+@query()
+def outline_ranked(spark, sf):
+    """M6: the ten most central sentences of each document"""
+    docs = ranked(table(spark, sf, "documents").select("doc_id", "text"), "text", DEFAULT.outline_max_chunks)
+    return unnested(docs, F.col("central"), "sentence_ix", "doc_id").select("doc_id", "sentence_ix", "sentence", F.round("centrality", 9).alias("centrality"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, event_id % 97 = 0 AS done, 86400 * (1 + user_id % 5) AS timeout_s FROM events),
+    j AS (SELECT user_id, min(CASE WHEN done THEN ts END) AS ended, max(ts) AS last, count(*) AS beats, any_value(timeout_s) AS wait FROM e GROUP BY user_id)
+    SELECT user_id AS job, CASE WHEN ended IS NOT NULL THEN 'completed' ELSE 'failed_timeout' END AS status, strftime(coalesce(ended, last), '%Y-%m-%d %H:%M:%S.%f') AS ended_at, beats
+    FROM j WHERE ended IS NOT NULL OR epoch_us(last) + wait * 1000000 <= (SELECT epoch_us(max(ts)) FROM e) - 10000000"""
+)
+def watched_jobs(spark, sf):
+    """L5, L7: the events as heartbeats of a stream, each user with a time-out of its own"""
+    from ..streaming import watch
+
+    folder, before = f"{shared(spark)}/watched-{uuid.uuid4().hex}", spark.conf.get(watch.STORE[0], None)
+    status = F.when(F.col("event_id") % 97 == 0, "completed").otherwise("generating")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), status.alias("status"), (86400 * (1 + F.col("user_id") % 5)).alias("timeout_s"))
+    events.write.parquet(f"{folder}/in")  # what arrives
+    beats = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    try:
+        watch.with_store(spark)
+        out = watch.watched_jobs(beats).writeStream.format("parquet").option("checkpointLocation", f"{folder}/at")
+        out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    finally:
+        spark.conf.set(watch.STORE[0], before) if before else spark.conf.unset(watch.STORE[0])
+    ended = spark.read.schema(watch.OUT).parquet(f"{folder}/out")
+    return ended.select("job", "status", F.date_format("at", MICROS).alias("ended_at"), "beats")

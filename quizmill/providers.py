@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, LongType, StringType, StructField, StructType
 
 from .config import DEFAULT, Config
+from .functions.ranking import best_sentences, centralities
 from .functions.text import difficulty, seed
 
 #: What tells of an error worth another try.
@@ -103,7 +104,15 @@ class MockProvider:
         return raw, 100
 
 
-_REGISTRY: dict[str, Callable[[], Provider]] = {"mock": MockProvider}
+class ExtractiveProvider(MockProvider):
+    """Summaries without a model: the two most central sentences of a text, in its order. Other methods are the mock's."""
+
+    def summarize(self, texts: list[str]) -> list[str]:
+        parts = [[x for x in (s.strip() for s in re.split(r"(?<=[.!?])\s+", t)) if x] for t in texts]
+        return [" ".join(p[i] for i in best_sentences(p, c, 2)) for p, c in zip(parts, centralities(parts), strict=True)]
+
+
+_REGISTRY: dict[str, Callable[[], Provider]] = {"mock": MockProvider, "extractive": ExtractiveProvider}
 
 
 def register(name: str, factory: Callable[[], Provider]) -> None:
