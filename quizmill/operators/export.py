@@ -38,11 +38,11 @@ def as_json(questions: DataFrame, key: str, *header: str) -> DataFrame:
 
 
 def write_exports(documents: DataFrame, key: str, path: str) -> None:
-    """A folder with a text file for each row of as_json, by key; exports of other tests stay."""
+    """A folder with a text file for each row of as_json, by key; exports of other tests stay. For a few tests: for many see streaming.merged.ReplacedTable."""
     documents.select(key, "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(path)
 
 
 def replace_questions(questions: DataFrame, key: str, path: str) -> None:
-    """Writes each test's rows in place of its former ones; other tests' rows stay."""
+    """Writes each test's rows in place of its former ones, a folder a test; other tests' rows stay. For many tests see streaming.merged.ReplacedTable."""
     numbered = questions.withColumn("sort_order", F.row_number().over(Window.partitionBy(key).orderBy("sort_order")))
     numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

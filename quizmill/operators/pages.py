@@ -53,8 +53,11 @@ def seen_run(images: DataFrame, key: str, n: int, name: str | tuple[str, ...] =
 
     An answer without questions is asked for once more; one with some is reviewed, and the review stands if it has some. A run ends when
     its tokens reach the limit. A key's pages are read as a stream, three at a time. Failed calls cost no tokens and give no answer.
+
+    There are as many tasks as cores, so that all run at once, and each has its share of the rate: together they keep within it, though one whose runs end early leaves its share unused.
     """
-    make, throttled = maker(name), throttle or (lambda: Throttle(config.rate_tokens, config.rate_window_s))
+    tasks = images.sparkSession.sparkContext.defaultParallelism
+    make, throttled = maker(name), throttle or (lambda: Throttle(max(1, config.rate_tokens // tasks), config.rate_window_s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, slow = make(), throttled()
@@ -104,7 +107,7 @@ def seen_run(images: DataFrame, key: str, n: int, name: str | tuple[str, ...] =
             yield _answers(rows, kind, key)
 
     kind = pa.field(key, pa.string() if isinstance(images.schema[key].dataType, StringType) else pa.int64())
-    order = images.select(F.col(key).cast("string" if pa.types.is_string(kind.type) else "long").alias(key), "page", "content").repartition(key).sortWithinPartitions(key, "page")
+    order = images.select(F.col(key).cast("string" if pa.types.is_string(kind.type) else "long").alias(key), "page", "content").repartition(tasks, key).sortWithinPartitions(key, "page")
     made = [StructField("batch", LongType()), StructField("raw", StringType()), StructField("tokens", LongType())]
     return order.select(key, "content").mapInArrow(run, StructType([order.schema[key], *made]))
 

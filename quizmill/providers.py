@@ -148,15 +148,38 @@ def maker(name: str | tuple[str, ...]) -> Callable[[], Provider]:
     return make
 
 
-def within(limit_s: float | None, call: Callable, *args):
-    """call's result; TimeoutError if it takes longer."""
-    if limit_s is None:
-        return call(*args)
-    pool = ThreadPoolExecutor(1)
-    try:
-        return pool.submit(call, *args).result(limit_s)
-    finally:
-        pool.shutdown(wait=False)
+class Limited:
+    """Calls that may take limit_s seconds each, one after the other: TimeoutError if one takes longer.
+
+    All calls of a task share a thread. A call that is too late keeps the one it has, as a thread can't be stopped, and later calls get another; `abandoned` counts these, and once there
+    are most_abandoned of them that haven't ended, further calls fail at once instead of adding to them.
+    """
+
+    def __init__(self, limit_s: float | None, most_abandoned: int = 8):
+        self.limit_s, self.most, self.abandoned, self.late, self.pool = limit_s, most_abandoned, 0, [], None
+
+    def __call__(self, call: Callable, *args):
+        if self.limit_s is None:
+            return call(*args)
+        self.late = [f for f in self.late if not f.done()]
+        if len(self.late) >= self.most:
+            raise TimeoutError(f"{len(self.late)} calls that took too long haven't ended")
+        self.pool = self.pool or ThreadPoolExecutor(1)
+        future = self.pool.submit(call, *args)
+        try:
+            return future.result(self.limit_s)
+        except TimeoutError:
+            if not future.done():
+                self.late.append(future)
+                self.abandoned += 1
+                self.pool.shutdown(wait=False)
+                self.pool = None
+            raise
+
+    def close(self) -> None:
+        if self.pool:
+            self.pool.shutdown(wait=False)
+            self.pool = None
 
 
 class Chain:
@@ -167,7 +190,7 @@ class Chain:
     """
 
     def __init__(self, *names: str, tries: int = 4, wait: Callable[[int], None] = lambda attempt: time.sleep(min(60, 2 << attempt)), limit_s: float | None = None):
-        self.makers, self.tries, self.wait, self.limit_s, self.at = [maker(n) for n in names], tries, wait, limit_s, 0
+        self.makers, self.tries, self.wait, self.within, self.at = [maker(n) for n in names], tries, wait, Limited(limit_s), 0
 
     def _call(self, method: str, *args):
         error: Exception | None = None
@@ -175,14 +198,14 @@ class Chain:
             model = self.makers[self.at]()
             for attempt in range(self.tries):
                 try:
-                    return within(self.limit_s, getattr(model, method), *args)
+                    return self.within(getattr(model, method), *args)
                 except TimeoutError:
                     raise
                 except Exception as e:  # noqa: BLE001  any failure of a provider
                     error, said = e, str(e).lower()
                     if REFUSED.search(said) and hasattr(model, "unguarded"):
                         try:
-                            return within(self.limit_s, getattr(model.unguarded(), method), *args)
+                            return self.within(getattr(model.unguarded(), method), *args)
                         except TimeoutError:
                             raise
                         except Exception as e:  # noqa: BLE001
@@ -221,8 +244,8 @@ def mapped(rows: DataFrame, column: str, out: str, method: str, name: str | tupl
     spark_type, arrow_type, missing = GIVES.get(method, (StringType(), pa.string(), None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make()
-        call = lambda *a: within(limit_s, getattr(model, method), *a)
+        model, limited = make(), Limited(limit_s)
+        call = lambda *a: limited(getattr(model, method), *a)
         for b in batches:
             values = b.column(at).to_pylist()
             asked = [k for k, v in enumerate(values) if v is not None]

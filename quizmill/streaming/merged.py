@@ -65,12 +65,12 @@ class MergedTable:
         fields = [f.name for f in self.schema]
         # the batch's own last rows first: a hot key is one row from here on. With a status, its first end is kept too.
         new = rows.select(*fields).where(F.col(self.key).isNotNull())
-        new = latest(new, self.key, self.at, self.tie, self.status).select(*fields).persist()
+        new = self._reduced(new).select(*fields).persist()
         try:
             touched = sorted(r["b"] for r in new.select(self._bucket().alias("b")).distinct().collect())  # buckets at most
             old = self._rows([(b, held[b]) for b in touched if b in held])
             folder = f"data/{version + 1:012d}-{uuid.uuid4().hex}"
-            both = latest(old.unionByName(new), self.key, self.at, self.tie, self.status).select(*fields, self._bucket().alias("bucket_"))
+            both = self._joined(old, new).select(*fields, self._bucket().alias("bucket_"))
             if touched:
                 both.repartition(len(touched), "bucket_").write.partitionBy("bucket_").parquet(f"{self.path}/{folder}")
         finally:
@@ -80,6 +80,12 @@ class MergedTable:
         self.spark.createDataFrame(entries, LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
         return True
 
+    def _reduced(self, rows: DataFrame) -> DataFrame:
+        return latest(rows, self.key, self.at, self.tie, self.status)
+
+    def _joined(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        return self._reduced(old.unionByName(new))
+
     def sink(self, stream: str) -> Callable[[DataFrame, int], None]:
         """For writeStream.foreachBatch: a stream that starts again from its checkpoint merges no batch twice."""
         return lambda rows, batch: self.merge(rows, batch, stream) and None
@@ -90,3 +96,19 @@ class MergedTable:
         top = self.folders()[0]
         last = log.where(F.col("version") > top - keep).select("folder").distinct()
         return log.select("folder").distinct().join(last, "folder", "left_anti")
+
+
+class ReplacedTable(MergedTable):
+    """The rows of each key as its last batch gave them: a key that a batch has rows of loses all it had before. Same files, log and guarantees.
+
+    For exports and question lists of many tests, as (key, rows...): the files are the buckets, whatever the number of tests.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, key: str, buckets: int = 16):
+        super().__init__(spark, path, schema, key, key, key, None, buckets)
+
+    def _reduced(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+    def _joined(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select(self.key).distinct(), self.key, "left_anti").unionByName(new)

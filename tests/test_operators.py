@@ -355,6 +355,81 @@ def test_pdf_pages_are_counted_and_split(spark, compressed):
     assert got["junk"] is got["none"] is None
 
 
+def scanned_pdf(pages, size, encrypted=False):
+    """A PDF whose pages have images of size bytes each, a shared font, resources on their tree, and a link to the first page."""
+    objects = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Count %d/MediaBox[0 0 5 [6]]/Resources<</Font<</F 3 0 R>>>>/Kids[%s]>>" % (pages, b" ".join(b"%d 0 R" % (10 + 3 * n) for n in range(pages))), 3: b"<</Type/Font/Name/Shared>>"}
+    for n in range(pages):
+        image = (b"endobj 7 0 obj %d " % n).ljust(size, b"x")
+        objects[10 + 3 * n] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R/Annots[%d 0 R]/Mark(page %d)>>" % (11 + 3 * n, 12 + 3 * n, n)
+        objects[11 + 3 * n] = b"<</Length %d>>\nstream\n%s\nendstream" % (len(image), image)
+        objects[12 + 3 * n] = b"<</Type/Annot/Dest[10 0 R/Fit]>>"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer<</Root 1 0 R%s>>\nstartxref\n9\n%%%%EOF\n" % (b"/Encrypt 3 0 R" if encrypted else b"")
+
+
+def test_a_part_is_as_large_as_its_pages():
+    whole = scanned_pdf(40, 20_000)
+    order = files.pdf_pages(whole)
+    part = files.pdf_part(whole, order[14:28])
+    assert len(order) == 40 and 14 * 20_000 < len(part) < 14 * 20_600 < len(whole) / 2
+    held = files.pdf_streams(part)
+    assert files.pdf_pages(part) == order[14:28]
+    for n, number in zip(range(14, 28), order[14:28], strict=True):
+        head = held[number][0]
+        assert b"(page %d)" % n in head and b"/MediaBox [0 0 5 [6]]" in head and b"/Font<</F 3 0 R>>" in head
+        assert held[number + 1][1].startswith(b"endobj 7 0 obj %d " % n) and len(held[number + 1][1].rstrip()) == 20_000
+    assert held[3][0].strip() == b"<</Type/Font/Name/Shared>>" and 10 not in held and 2 not in held and 7 not in held
+    # every object is where the table says
+    table = int(part.split(b"startxref\n")[1].split()[0])
+    assert part[table:].startswith(b"xref")
+    places = part[table:].split(b"trailer")[0].split(b"\n")[3:]
+    for at, place in zip(places[::2], places[1::2], strict=False):
+        assert part[int(place[:10]) :].startswith(b"%d 0 obj" % int(at.split()[0]))
+    # all of it again, from its own part
+    assert files.pdf_pages(files.pdf_part(part, order[20:22])) == order[20:22]
+    locked = scanned_pdf(40, 2000, True)
+    assert files.pdf_pages(files.pdf_part(locked, order[:3])) == order[:3] and files.pdf_part(locked, order[:3]).startswith(locked)
+
+
+def test_parts_of_a_file_go_to_several_tasks(spark):
+    from pyspark import TaskContext
+
+    class Where(providers.MockProvider):
+        def ocr(self, parts):
+            if b"(page 60)" in parts[0]:
+                raise RuntimeError("too dark")
+            return [f"task {TaskContext.get().partitionId()}"]
+
+    providers.register("where", Where)
+    made = [("a", scanned_pdf(56, 50)), ("a", scanned_pdf(56, 50)), ("b", scanned_pdf(70, 50)), ("a", scanned_pdf(2, 50)), (None, b"junk")]
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in made], "k string, content binary")
+    assert rows.count() == 5 and files.ocr_calls(rows, "k").where("k = 'b'").count() == 5
+    got = sorted(((r["k"], r["pages"], r["text"], r["error"]) for r in files.ocr_texts(rows, "k", "where").collect()), key=str)
+    assert [(k, n, e) for k, n, _, e in got] == [("a", 2, None), ("a", 56, None), ("b", 70, "too dark"), (None, None, None)]
+    assert len(got[1][2].split("\n")) == 4 and len(set(got[1][2].split("\n"))) > 1 and got[2][2] is None
+
+
+def test_late_calls_share_a_thread_and_are_counted():
+    import threading
+
+    open_ = threading.Event()
+    limited = providers.Limited(0.2, most_abandoned=2)
+    names = {limited(lambda: threading.current_thread().name) for _ in range(5)}
+    assert len(names) == 1
+    for _ in range(2):
+        with pytest.raises(TimeoutError):
+            limited(open_.wait, 20)
+    with pytest.raises(TimeoutError, match="2 calls"):
+        limited(lambda: 1)
+    open_.set()
+    import time
+
+    time.sleep(0.3)
+    assert limited(lambda: 7) == 7 and limited.abandoned == 2
+    limited.close()
+    with pytest.raises(ValueError, match="own"):
+        limited(int, "own")
+
+
 def test_ocr_failures_are_told(spark):
     class Broken(providers.MockProvider):
         def ocr(self, parts):

@@ -19,7 +19,7 @@ from quizmill.operators.nearest import best_places, nearest_of_each, relevant_sa
 from quizmill.operators.retrieval import spread
 from quizmill.operators.scan import scanned
 from quizmill.plans.generate import generated
-from quizmill.streaming.merged import MergedTable
+from quizmill.streaming.merged import MergedTable, ReplacedTable
 
 START = datetime(2024, 1, 1)
 
@@ -158,6 +158,16 @@ def test_batches_come_once_and_failures_leave_nothing(spark, tmp_path, monkeypat
     assert {r["folder"] for r in held.unreferenced(1).collect()}.isdisjoint(held.folders()[1].values())
 
 
+def test_rows_of_a_key_are_replaced_together(spark, tmp_path):
+    schema = "test long, sort_order int, question string"
+    rows = lambda tests, n, tag: spark.createDataFrame([(t, k, f"{tag} {t} {k}") for t in tests for k in range(n)], schema)
+    held = ReplacedTable(spark, str(tmp_path / "q"), schema, "test", buckets=3)
+    assert held.merge(rows(range(40), 3, "old"), 0) and held.merge(rows([1, 7, 50], 1, "new"), 1) and not held.merge(rows([2], 1, "late"), 1)
+    got = sorted(map(tuple, held.read().collect()))
+    expected = [tuple(r) for r in rows([t for t in range(40) if t not in (1, 7)], 3, "old").collect()] + [tuple(r) for r in rows([1, 7, 50], 1, "new").collect()]
+    assert got == sorted(expected) and len(held.read().inputFiles()) <= 3
+
+
 def test_a_killed_stream_goes_on_where_it_was(spark, tmp_path):
     frame = spark.createDataFrame(ROWS, SCHEMA)
     held, source = merged(spark, tmp_path / "t"), str(tmp_path / "in")
