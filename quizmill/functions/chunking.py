@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from .text import let, sentences, strip, unnested
+from .text import folded, let, sentences, strip, unnested
 
 
 def fixed(text: Column, size: int, overlap: int) -> Column:
@@ -32,8 +32,8 @@ def semantic(text: Column, size: int, fraction: float) -> Column:
     """
     body = F.coalesce(text, F.lit(""))
     room = int(size * fraction)
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("out"), none.alias("cur"), F.lit(0).alias("n"))
+    none, nothing = F.array().cast("array<string>"), F.lit(None).cast("string")
+    start = F.struct(none.alias("cur"), F.lit(0).alias("n"))
 
     def carried(cur: Column) -> Column:
         zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(False).alias("full"))
@@ -45,18 +45,22 @@ def semantic(text: Column, size: int, fraction: float) -> Column:
         return F.aggregate(F.reverse(cur), zero, take)
 
     def add(a: Column, s: Column) -> Column:
+        """The state with sentence s, and the chunk that is full before it, if one is; after the last sentence comes a null."""
         over = (a["n"] + F.length(s) + 1 > size) & (F.size(a["cur"]) > 0)
 
-        def emit(keep: Column) -> Column:
+        def begun(keep: Column) -> Column:
             tail = F.slice(a["cur"], F.size(a["cur"]) - keep["k"] + 1, keep["k"])
-            return F.struct(F.array_append(a["out"], F.array_join(a["cur"], " ")).alias("out"), F.array_append(tail, s).alias("cur"), (keep["n"] + F.length(s) + 1).alias("n"))
+            return F.struct(F.array_append(tail, s).alias("cur"), (keep["n"] + F.length(s) + 1).alias("n"))
 
-        more = F.struct(a["out"].alias("out"), F.array_append(a["cur"], s).alias("cur"), (a["n"] + F.length(s) + 1).alias("n"))
-        return F.when(over, let(carried(a["cur"]), emit)).otherwise(more)
+        more = F.struct(F.array_append(a["cur"], s).alias("cur"), (a["n"] + F.length(s) + 1).alias("n"))
+        state = F.when(s.isNull(), a).when(over, let(carried(a["cur"]), begun)).otherwise(more)
+        return F.struct(state.alias("state"), F.when((s.isNull() & (F.size(a["cur"]) > 0)) | over, F.array_join(a["cur"], " ")).otherwise(nothing).alias("out"))
 
-    last = lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["out"], F.array_join(a["cur"], " "))).otherwise(a["out"])
-    done = let(sentences(body), lambda parts: F.when(F.size(parts) == 0, F.array(body)).otherwise(F.aggregate(parts, start, add, last)))
-    return F.when(strip(body) == "", none).otherwise(done)
+    def cut(parts: Column) -> Column:
+        made = let(F.array_append(parts, nothing), lambda p: folded(p, start, add, "string"))
+        return F.when(F.size(parts) == 0, F.array(body)).otherwise(F.filter(made, lambda x: x.isNotNull()))
+
+    return F.when(strip(body) == "", none).otherwise(let(sentences(body), cut))
 
 
 def semantic_lists(parts: list[str], size: int, fraction: float) -> list[str]:

@@ -20,6 +20,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
+def folded(items: Column, first: Column, step: Callable[[Column, Column], Column], made: str, block: int = 256) -> Column:
+    """array<made>: the `out` that step(state, item) gives for each item, while its `state` goes on to the next.
+
+    To append to an array is to copy it. So items are folded by blocks, each into an array of its own: n items cost n * (block + n / block) copies of a reference, not n * n.
+    """
+    empty = F.expr(f"cast(array() as array<{made}>)")
+
+    def one(held: Column, item: Column) -> Column:
+        return let(step(held["state"], item), lambda r: F.struct(r["state"].alias("state"), F.array_append(held["out"], r["out"]).alias("out")))
+
+    def some(held: Column, at: Column) -> Column:
+        part = F.aggregate(F.slice(items, at, F.lit(block)), F.struct(held["state"].alias("state"), empty.alias("out")), one)
+        return let(part, lambda r: F.struct(r["state"].alias("state"), F.array_append(held["out"], r["out"]).alias("out")))
+
+    start = F.struct(first.alias("state"), F.expr(f"cast(array() as array<array<{made}>>)").alias("out"))
+    blocks = F.aggregate(F.sequence(F.lit(1), F.size(items), F.lit(block)), start, some, lambda held: F.flatten(held["out"]))
+    return F.when(F.size(items) > 0, blocks).otherwise(empty)
+
+
 def unnested(rows: DataFrame, structs: Column, given: str, *keep: str) -> DataFrame:
     """A row for each struct of an array expression, with the kept columns; `given` is a field that is never null.
 
