@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions.ranking import ranked
 from ..functions.text import LINE_END, unnested
-from ..operators import admission, lines, nearest
+from ..operators import admission, lines, nearest, paging
 from ..sources.tables import table
 from .registry import query
 from .serving_queries import latest_wins_log
@@ -89,6 +89,19 @@ def clean_lines(spark, sf):
     return lines.paragraph_lines(rows, "doc_id", "line_ix", "line", piece_lines=64)
 
 
+@query(
+    """SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders
+    QUALIFY place > 5 + o_custkey % 3 AND place <= 10 + o_custkey % 3"""
+)
+def indexed_pages(spark, sf):
+    """O1, A1, S8: a deep page of every owner's list, by an index of blocks; totals from the index too"""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    index = paging.PageIndex(spark, f"{shared(spark)}/pages-{uuid.uuid4().hex}", "o_custkey", ["o_orderdate", "o_orderkey"], ("o_orderdate",)).build(orders)
+    asked = orders.select("o_custkey").distinct().select("o_custkey", (5 + F.col("o_custkey") % 3).alias("offset"), F.lit(5).alias("limit"))
+    totals = index.blocks().groupBy("o_custkey").agg(F.sum("n").alias("total"))
+    return index.pages(asked).join(totals, "o_custkey").select("o_custkey", "o_orderkey", "place", "total")
+
+
 @query()
 def outline_ranked(spark, sf):
     """M6: the ten most central sentences of each document"""

@@ -15,7 +15,9 @@ from quizmill.operators import nearest
 from quizmill.operators.admission import admitted
 from quizmill.operators.lifecycle import latest
 from quizmill.operators.lines import paragraph_lines
+from quizmill.operators import serving
 from quizmill.operators.nearest import best_places, nearest_of_each, relevant_sample
+from quizmill.operators.paging import PageIndex
 from quizmill.operators.retrieval import spread
 from quizmill.operators.scan import scanned
 from quizmill.plans.generate import generated
@@ -209,5 +211,33 @@ def test_lines_of_a_text_in_many_pieces(spark):
     assert paragraph_lines(frame.limit(0), "doc", "i", "t").collect() == []
 
 
+def test_pages_by_index_are_those_of_sorting(spark, tmp_path):
+    draw = random.Random(8)
+    rows = [("hot" if i % 3 else f"u{i % 5}", START + timedelta(days=draw.randrange(40)), i, "x") for i in range(3000)] + [(None, START, 9999, "x"), ("one", START, 10_000, "x")]
+    frame = spark.createDataFrame(rows, "who string, at timestamp, id long, before string").withColumnRenamed("before", "note").repartition(5)
+    index = PageIndex(spark, str(tmp_path / "index"), "who", ["at", "id"], ("at",)).build(frame, tasks=7, block=64)
+    order = [F.desc("at"), F.col("id")]
+    blocks = index.blocks().collect()
+    assert max(r["n"] for r in blocks) <= 64 and len({r["block_"] for r in blocks}) >= 3000 // 64
+    for who in ("hot", "u0", "one", "nobody"):
+        mine = frame.where(F.col("who") == who)
+        assert index.count(who) == mine.count()
+        for offset, limit in ((0, 20), (63, 3), (64, 100), (1990, 20), (5000, 20), (-3, 0)):
+            got, expected = index.page(who, offset, limit), serving.page(mine, order, limit, offset)
+            assert got.columns == frame.columns and got.collect() == expected.collect()
+    asked = spark.createDataFrame([("hot", 500, 7), ("hot", 0, 2), ("u1", 100, 1000), ("one", 0, 5), ("one", 1, 5), ("nobody", 0, 5), (None, 0, 5)], "who string, offset int, limit int")
+    got = {}
+    for r in index.pages(asked).collect():
+        got.setdefault(r["who"], []).append((r["place"], r["id"]))
+    whole = {who: [r["id"] for r in frame.where(F.col("who") == who).orderBy(*order).collect()] for who in ("hot", "u1", "one")}
+    wanted = {"hot": [*range(0, 2), *range(500, 507)], "u1": [*range(100, 200)], "one": [0]}
+    assert {w: sorted(v) for w, v in got.items()} == {w: [(k + 1, whole[w][k]) for k in places if k < len(whole[w])] for w, places in wanted.items()}
+    # a deep page reads the rows of its blocks, not the list
+    plan = index.page("hot", 1500, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "block_" in plan and "In(block_" in plan.replace(" ", "") or "block_#" in plan
+    empty = PageIndex(spark, str(tmp_path / "empty"), "who", ["at", "id"]).build(frame.limit(0))
+    assert empty.page("hot").collect() == [] and empty.pages(asked).collect() == [] and empty.count("hot") == 0
+
+
 def test_defaults_are_those_of_the_service():
     assert (DEFAULT.rate_requests, DEFAULT.rate_window_s) == (30, 60)
