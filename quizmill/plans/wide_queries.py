@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions.ranking import ranked
 from ..functions.text import LINE_END, unnested
-from ..operators import admission, lines, nearest, paging
+from ..operators import admission, boundaries, lines, nearest, paging
 from ..sources.tables import table
 from .registry import query
 from .serving_queries import latest_wins_log
-from .text_queries import COS, LINES_CTE
+from .text_queries import COS, LINES_CTE, SENTENCES_CTE, WS
 
 #: Users of the driver's events are slow: three calls in two days let some wait.
 MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -102,6 +102,24 @@ def indexed_pages(spark, sf):
     return index.pages(asked).join(totals, "o_custkey").select("o_custkey", "o_orderkey", "place", "total")
 
 
+_TYPE = lambda c: f"translate(regexp_replace({c}, '\\.$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    f"""WITH {SENTENCES_CTE}, w AS (SELECT word FROM (SELECT unnest(string_split_regex(text, '{WS}+')) AS word FROM documents) WHERE regexp_matches(word, '{boundaries.WORD}')),
+    t AS (SELECT {_TYPE("word")} AS type, count(*) AS n, count(*) FILTER (WHERE word LIKE '%.') AS ended FROM w GROUP BY 1), s AS (SELECT sum(ended) / CAST(sum(n) AS DOUBLE) AS share FROM t),
+    l AS (SELECT type, n, ended, share, length(type) - length(replace(type, '.', '')) AS periods FROM t, s WHERE ended > 0),
+    a AS (SELECT type FROM l WHERE -2 * (ended * ln(share) + (n - ended) * ln(1 - share) - ended * ln(0.99) - (n - ended) * ln(1 - 0.99)) * exp(-(length(type) - periods)) * (periods + 1) * pow(CAST(length(type) - periods AS DOUBLE), -(n - ended)) >= 0.3),
+    e AS (SELECT doc_id, ix, sentence, list_last(string_split_regex(sentence, '{WS}+')) AS last FROM sents),
+    c AS (SELECT doc_id, ix, sentence, CASE WHEN last LIKE '%.' AND regexp_matches(last, '{boundaries.WORD}') AND {_TYPE("last")} IN (SELECT type FROM a) THEN 0 ELSE 1 END AS closes FROM e),
+    g AS (SELECT doc_id, ix, sentence, sum(closes) OVER (PARTITION BY doc_id ORDER BY ix) - closes AS sent_ix FROM c)
+    SELECT doc_id, CAST(sent_ix AS BIGINT) AS sent_ix, string_agg(sentence, ' ' ORDER BY ix) AS sentence FROM g GROUP BY doc_id, sent_ix"""
+)
+def sentences_learned(spark, sf):
+    """T3: sentences that don't end after what the corpus uses as abbreviations"""
+    return boundaries.learned_sentences(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", piece=256)
+
+
 @query()
 def outline_ranked(spark, sf):
     """M6: the ten most central sentences of each document"""
