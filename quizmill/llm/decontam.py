@@ -22,6 +22,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
 #: Lists that are intersected one after the other; the alignments that are left are looked up in the rest at once.
 RANKS = 3
+#: Positions of a block of postings in the search for words near each other.
+BLOCK = 64
 
 
 def words(text):
@@ -118,24 +120,33 @@ def exact_matches(index: PositionalIndex, size: int = 10) -> DataFrame:
     return runs.select("row", "item", (F.col("shift") + F.col("a")).alias("first"), (F.col("shift") + F.col("b")).alias("last"))
 
 
-def proximity_matches(index: PositionalIndex, within: int) -> DataFrame:
-    """(row, item, pos): positions of an item's rarest word with all the item's words at most `within` positions away."""
+def proximity_matches(index: PositionalIndex, within: int | None = None) -> DataFrame:
+    """(row, item, pos): the places in documents of an item's rarest word that have all the item's other words at most `within` positions away, in any order (twice the item's words if not said).
+
+    The rarest is the word with the fewest postings, the first in order of words among several. Rows without a match give none, nor do items with a word that no document has. Postings meet by
+    row, term and block of BLOCK positions, so that a long document's are not paired with all of each other.
+    """
     frequency = index.lists.groupBy("term").agg(F.count("*").alias("df"))
-    terms = index.phrases.select("item", "term").distinct().join(frequency, "term", "left").na.fill(0, ["df"])
+    terms = index.phrases.select("item", "n", "term").distinct().join(with_broadcast_if(index.terms, BROADCAST_ROWS), "term").join(frequency, "term", "left").na.fill(0, ["df"])
     terms = written(terms, "near-terms")
-    first = terms.groupBy("item").agg(F.min(F.struct("df", "term")).alias("m"), F.count("*").alias("need")).where("m.df > 0")
-    at = index.lists.join(first.select("item", "need", F.col("m.term").alias("term")), "term").select("row", "item", "need", "pos")
+    first = terms.groupBy("item", "n").agg(F.min(F.struct("df", "word", "term")).alias("m"), F.count("*").alias("need")).where("m.df > 0")
+    reach = F.lit(within) if within is not None else 2 * F.col("n")
+    at = index.lists.join(with_broadcast_if(first.select("item", "need", reach.alias("reach"), F.col("m.term").alias("term")), BROADCAST_ROWS), "term").select("row", "item", "need", "pos", "reach")
     at = written(at, "near-starts")
-    lists = index.lists.join(at.select("row").distinct(), "row", "left_semi").withColumnRenamed("pos", "other")
-    pairs = at.join(terms.select("item", "term"), "item").join(lists, ["row", "term"]).where(F.abs(F.col("other") - F.col("pos")) <= within)
-    return pairs.groupBy("row", "item", "need", "pos").agg(F.countDistinct("term").alias("have")).where("have = need").select("row", "item", "pos")
+    lists = index.lists.join(with_broadcast_if(at.select("row").distinct(), BROADCAST_ROWS), "row", "left_semi")
+    lists = lists.select("row", "term", F.col("pos").alias("other"), F.floor(F.col("pos") / BLOCK).alias("block"))
+    blocks = F.sequence(F.floor((F.col("pos") - F.col("reach")) / BLOCK), F.floor((F.col("pos") + F.col("reach")) / BLOCK))
+    asked = at.join(with_broadcast_if(terms.select("item", "term"), BROADCAST_ROWS), "item").withColumn("block", F.explode(blocks))
+    pairs = asked.join(lists, ["row", "term", "block"]).where(F.abs(F.col("other") - F.col("pos")) <= F.col("reach"))
+    near = pairs.groupBy("row", "item", "need", "pos").agg(F.countDistinct("term").alias("have"))
+    return near.where("have = need").select("row", "item", "pos")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_sha256) for every row of docs.
 
     A word is hit if it lies in any occurrence of a window of `size` consecutive item words; an item of fewer words is one
-    window. Null and wordless texts have no words and no hits, very long ones have postings for all their words; wordless items have no windows. Item ids are compared as
+    window. n_near counts the items all of whose words stand near each other (see proximity_matches), near_sha256 is of their ids as items_sha256 is of the others'. Null and wordless texts have no words and no hits, very long ones have postings for all their words; wordless items have no windows. Item ids are compared as
     strings, a repeated one counts once, hits of an item with a null id count as hits but not as an item. Rows with
     repeated or null doc ids get a row each. Columns not named are ignored. No documents: no rows; no items: no hits.
     """
@@ -150,7 +161,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     fresh = lambda a, x: F.greatest(x["last"] - F.greatest(x["first"], a["last"] + 1) + 1, F.lit(0)).cast("long")
     covered = F.aggregate("spans", start, lambda a, x: F.struct(F.greatest(a["last"], x["last"]).alias("last"), (a["n"] + fresh(a, x)).alias("n")))["n"]
     per_row = per_row.select("row", covered.alias("hit"), F.size("ids").cast("long").alias("n_ids"), F.array_join("ids", ",").alias("joined"))
-    out = index.documents.join(per_row, "row", "left")
+    near = proximity_matches(index).select("row", "item").distinct().join(with_broadcast_if(named, BROADCAST_ROWS), "item")
+    near = near.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("near_ids"))
+    out = index.documents.join(per_row, "row", "left").join(near, "row", "left")
     return out.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
@@ -158,6 +171,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.coalesce("n_ids", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("joined", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce(F.size("near_ids"), F.lit(0)).cast("long").alias("n_near"),
+        F.sha2(F.coalesce(F.array_join("near_ids", ","), F.lit("")).cast("binary"), 256).alias("near_sha256"),
     )
 
 
@@ -191,9 +206,17 @@ dw AS (SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS k
 m AS (SELECT DISTINCT doc_id, dw.size, s, item_id FROM dw JOIN win ON dw.k = win.k AND dw.size = win.size),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM m) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-          FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id),
+p AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+iw AS (SELECT DISTINCT item_id, n, unnest(w) AS word FROM bw),
+df AS (SELECT word, count(*) AS df FROM p GROUP BY word),
+rare AS (SELECT item_id, n, min({{'df': coalesce(df, 0), 'word': word}}).word AS word, count(*) AS need FROM iw LEFT JOIN df USING (word) GROUP BY item_id, n),
+at_ AS (SELECT p.doc_id, p.pos, rare.item_id, n, need FROM p JOIN rare USING (word)),
+nw AS (SELECT a.doc_id, a.item_id, a.pos, a.need FROM at_ a JOIN iw USING (item_id) JOIN p ON p.doc_id = a.doc_id AND p.word = iw.word AND abs(p.pos - a.pos) <= 2 * a.n
+       GROUP BY a.doc_id, a.item_id, a.pos, a.need HAVING count(DISTINCT iw.word) = a.need),
+nears AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near_ids FROM (SELECT DISTINCT doc_id, item_id FROM nw) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)
 """

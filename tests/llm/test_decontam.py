@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 from quizmill.llm.decontam import build_index, contamination, proximity_matches, uncontaminated
 
@@ -7,6 +9,24 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = {c: c + 32 for c in range(65, 91)}
 
 
+def brute_near(docs, items, within=None):
+    """For each of docs the items all of whose words are within twice its words (or so many) of a place of its rarest."""
+    held = [WORD.findall((t or "").translate(LOW)) for _, t in docs]
+    df = Counter(w for h in held for w in h)
+    out = []
+    for h in held:
+        ids = set()
+        for item, text in items:
+            w = WORD.findall((text or "").translate(LOW))
+            if w:
+                reach = 2 * len(w) if within is None else within
+                rare = min(set(w), key=lambda x: (df[x], x.encode()))
+                if any(set(w) <= set(h[max(0, k - reach) : k + reach + 1]) for k, x in enumerate(h) if x == rare):
+                    ids.add(item)
+        out.append(ids)
+    return out
+
+
 def brute(docs, items, size=10):
     windows = {}
     for item, text in items:
@@ -26,7 +46,8 @@ def brute(docs, items, size=10):
                     hit |= set(range(s, s + n))
                     ids |= {str(x) for x in found} - {"None"}
         out.append((doc, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
-    return sorted(out, key=str)
+    near = [sorted({str(x) for x in ids} - {"None"}) for ids in brute_near(docs, items)]
+    return sorted([(*o, len(n), hashlib.sha256(",".join(n).encode()).hexdigest()) for o, n in zip(out, near, strict=True)], key=str)
 
 
 def got(df):
@@ -37,7 +58,7 @@ def test_against_brute_force_on_the_table(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     expected = brute(rows, [tuple(r) for r in items.select("item_id", "text").collect()])
-    assert got(contamination(docs, items)) == expected and any(r[2] for r in expected) and max(len(t) for _, t in rows) > 6000
+    assert got(contamination(docs, items)) == expected and any(r[2] for r in expected) and any(r[6] for r in expected) and max(len(t) for _, t in rows) > 6000
 
 
 def test_nulls_ties_empty_and_extra_columns(spark):
@@ -59,6 +80,21 @@ def test_proximity(spark):
     assert sorted(r[0] for r in near.collect()) == [1, 2]
 
 
+def test_proximity_in_long_texts(spark):
+    """Words around the ends of blocks, items of words that are everywhere, repeated rows, and an item with a word that no text has."""
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(n)) for n in (0, 5, 63, 64, 65, 500, 3000)] + ["x " * 130 + "rare y z", "rare " + "x " * 70 + "y z"]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (None, texts[4])]
+    items = [(1, "a b c d"), (2, "rare y z x"), (3, "a nowhere"), (4, "h"), (5, "a a a b"), (6, "rare " + "x " * 33 + "y"), (7, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = build_index(d, b)
+    for within in (None, 2, 70, 64):
+        found = proximity_matches(index, within).join(index.phrases.where("off = 0").select("item", "item_id"), "item").join(index.documents, "row")
+        near = sorted({(r["row"], str(r["doc_id"]), r["item_id"]) for r in found.collect()})
+        assert Counter((i, x) for _, i, x in near) == Counter((str(i), str(x)) for (i, _), ids in zip(docs, brute_near(docs, items, within), strict=True) for x in ids)
+    assert got(contamination(d, b)) == brute(docs, items)
+
+
 def test_uncontaminated_keeps_rows_and_columns(spark):
     ten = "a b c d e f g h i j"
     rows = [(1, None, 0, "x"), (2, f"{ten} k", 0, "x"), (2, "fine", 0, "x"), (None, ten, 0, "x"), (None, "", 1, None), (None, "", 1, None)]
