@@ -114,3 +114,11 @@ def test_timeouts_and_contexts(spark):
     assert [values(spark, text.timeout_s(F.lit(n))) for n in (0, 9, 10, 35)] == [1200, 1200, 1260, 1380]
     assert values(spark, text.context(F.lit("o"), F.array(F.lit("a"), F.lit("b")))) == "Document outline:\no\n\na\n\nb"
     assert values(spark, text.context(F.lit(""), F.array(F.lit("a")))) == "a"
+
+
+def test_chunks_of_many_sentences(spark):
+    """Several blocks of the fold, at and around their ends, and sentences longer than a chunk."""
+    for n in (1, 255, 256, 257, 1500):
+        parts = [f"Sentence {i} has {'very ' * (i % 40)}many words." if i % 97 else "x" * 400 + "." for i in range(n)]
+        got = values(spark, chunking.semantic(F.lit(" ".join(parts)), 300, 0.2))
+        assert got == chunking.semantic_lists(parts, 300, 0.2)
