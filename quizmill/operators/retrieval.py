@@ -14,9 +14,8 @@ def limit(questions: int, config: Config = DEFAULT) -> int:
 
 
 def spread(n: Column, k: int) -> Column:
-    """Places of at most k evenly spread items out of n; all of them if there are no more than k. Halves round to even."""
-    step = (n - 1) / F.lit(max(1, k - 1))
-    some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.greatest(F.lit(0), F.least((n - 1).cast("int"), F.rint(i * step).cast("int")))))
+    """Places of at most k evenly spread items out of n; all of them if there are no more than k. Halves round to even: one division of whole numbers, as a rounded step would miss them."""
+    some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.greatest(F.lit(0), F.least((n - 1).cast("int"), F.rint(i * (n - 1) / F.lit(max(1, k - 1))).cast("int")))))
     return F.when(n <= 0, F.array().cast("array<int>")).when(n <= k, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(some)
 
 

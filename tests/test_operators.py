@@ -1,4 +1,5 @@
 import json
+from fractions import Fraction
 
 import pytest
 from helpers import values
@@ -47,6 +48,11 @@ def test_spread(spark, n, k, expected):
     assert values(spark, retrieval.spread(F.lit(n), k)) == expected
 
 
+def test_spread_rounds_exact_halves_to_even(spark):
+    rows = spark.range(1, 600).select("id", retrieval.spread(F.col("id"), 15).alias("at")).where("id > 15").collect()
+    assert all(r["at"] == sorted({round(Fraction(i * (r["id"] - 1), 14)) for i in range(15)}) for r in rows)
+
+
 def test_limits():
     assert [retrieval.limit(n) for n in (0, 1, 5, 20)] == [1, 3, 15, 15]
     assert providers.candidates_wanted(5) == 7 and providers.candidates_wanted(20) == 20
