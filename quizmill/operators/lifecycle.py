@@ -113,19 +113,28 @@ def patched(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
 def rate_limited(events: DataFrame, key: list[str], at: str, tokens: Column, config: Config = DEFAULT, split: bool = False) -> DataFrame:
     """events with the requests and tokens of the window that ends with each, and whether they are within the limits. An event exactly a window ago is out.
 
-    split: for few keys with very many events. Time is cut into pieces of a window's length, and an event also goes to the piece after its own,
-    where it only counts: twice the rows, but as many tasks as there are pieces.
+    An event adds itself at its time and takes itself away a window later, so a window's counts are running sums: the work doesn't depend on how many events a window holds. Tokens are whole numbers.
+    split: for few keys with very many events. Time is cut into pieces of a window's length; an event leaves in the piece after its own, and what leaves there is counted from that
+    piece's start: twice the rows, but as many tasks as there are pieces.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    if split:
-        spent, given = "spent_", events.columns
-        piece = F.floor(micros / (config.rate_window_s * 1_000_000))
-        both = F.explode(F.array(F.struct(piece.alias("piece"), F.lit(True).alias("own")), F.struct((piece + 1).alias("piece"), F.lit(False).alias("own"))))
-        rows = events.withColumn(spent, tokens).withColumn("p_", both).withColumn("piece_", F.col("p_.piece")).withColumn("own_", F.col("p_.own"))
-        out = rate_limited(rows, [*key, "piece_"], at, F.col(spent), config).where("own_")
-        return out.select(*given, "requests", "tokens", "allowed")
-    ending = Window.partitionBy(*key).orderBy(micros).rangeBetween(-(config.rate_window_s * 1_000_000 - 1), 0)
-    out = events.withColumn("requests", F.count("*").over(ending)).withColumn("tokens", F.sum(tokens).over(ending))
+    length = config.rate_window_s * 1_000_000
+    held = events.select(*[F.col(k).alias(f"key{i}_") for i, k in enumerate(key)], F.unix_micros(F.col(at).cast("timestamp")).alias("at_"), tokens.alias("spent_"), F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("event_"))
+    # events without a time are each other's window
+    piece = F.floor(F.col("at_") / length) if split else F.when(F.col("at_").isNotNull(), F.lit(0).cast("long"))
+    enters = F.struct(piece.alias("piece_"), F.col("at_"), F.lit(1).alias("sign_"), F.col("event_"))
+    leaves = F.struct((piece + (1 if split else 0)).alias("piece_"), (F.col("at_") + length).alias("at_"), F.lit(-1).alias("sign_"), F.lit(None).cast(held.schema["event_"].dataType).alias("event_"))
+    both = F.when(F.col("at_").isNull(), F.array(enters)).otherwise(F.array(enters, leaves))
+    keys = [f"key{i}_" for i in range(len(key))]
+    rows = held.select(*keys, "spent_", F.inline(both))
+    part = Window.partitionBy(*keys, "piece_").orderBy("at_")
+    until, whole = part.rangeBetween(Window.unboundedPreceding, Window.currentRow), part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def held_by(value: Column) -> Column:
+        running = F.sum(value * F.col("sign_")).over(until)
+        return running + F.sum(F.when(F.col("sign_") < 0, value).otherwise(0)).over(whole) if split else running
+
+    sums = rows.withColumn("requests", held_by(F.lit(1).cast("long"))).withColumn("tokens", held_by(F.coalesce("spent_", F.lit(0)))).withColumn("known_", held_by(F.col("spent_").isNotNull().cast("long")))
+    out = sums.where(F.col("sign_") > 0).select(*[F.col(f"event_.`{c}`") for c in events.columns], "requests", F.when(F.col("known_") > 0, F.col("tokens")).alias("tokens"))
     return out.withColumn("allowed", (F.col("requests") <= config.rate_requests) & (F.col("tokens") <= config.rate_tokens))
 
 

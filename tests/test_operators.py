@@ -1,4 +1,5 @@
 import json
+import random
 from fractions import Fraction
 
 import pytest
@@ -126,6 +127,31 @@ def test_rate_window_leaves_out_the_edge(spark):
     assert [r["requests"] for r in lifecycle.rate_limited(rows, ["k"], "ts", F.lit(1)).orderBy("s").collect()] == [1, 1, 2]
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_rate_windows_are_those_of_a_loop(spark, split):
+    draw = random.Random(4)
+    calls = [(i, draw.choice("ab"), None if i % 50 == 0 else draw.randrange(600), None if draw.random() < 0.5 else draw.randrange(40)) for i in range(400)] + [(400, None, 5, 3), (401, "lone", 9, None)]
+    frame = spark.createDataFrame(calls, "id int, k string, s int, at_ int").withColumn("ts", F.timestamp_seconds("s"))
+    limits = config.Config(rate_requests=20, rate_tokens=300, rate_window_s=60)
+
+    def told(k, s):
+        seen = [t for _, k2, s2, t in calls if k2 == k and (s2 is None if s is None else s2 is not None and s - 60 < s2 <= s)]
+        known = [t for t in seen if t is not None]
+        return len(seen), sum(known) if known else None
+
+    out = lifecycle.rate_limited(frame, ["k"], "ts", F.col("at_"), limits, split)
+    got = {r["id"]: (r["requests"], r["tokens"]) for r in out.collect()}
+    assert got == {i: told(k, s) for i, k, s, _ in calls} and out.columns == [*frame.columns, "requests", "tokens", "allowed"]
+    assert all(r["allowed"] == (None if r["tokens"] is None and r["requests"] <= 20 else r["requests"] <= 20 and r["tokens"] <= 300) for r in out.collect())
+
+
+def test_rate_windows_read_a_row_once(spark):
+    rows = spark.range(10).select(F.lit("a").alias("k"), F.timestamp_seconds("id").alias("ts"))
+    for split in (False, True):  # a frame that slides would read a window's rows for each of them
+        plan = lifecycle.rate_limited(rows, ["k"], "ts", F.lit(1), split=split)._jdf.queryExecution().executedPlan().toString()
+        assert "unboundedpreceding" in plan and "-59999999" not in plan
+
+
 def test_serving(spark):
     rows = spark.createDataFrame([(i, "u") for i in range(30)], "id long, owner string")
     assert serving.page(rows, [F.desc("id")]).count() == 20 and serving.page(rows, [F.desc("id")], 1000, -5).count() == 30
