@@ -13,8 +13,8 @@ from ..functions.vectors import cosine
 from ..providers import embedded
 from .retrieval import spread
 
-#: Queries of a tile; tiles that may be broadcast (8 MB of 64 components each, at most); pieces that vectors are dealt to beyond that.
-TILE, TILES, SALTS = 1024, 16, 64
+#: Queries of a tile; tiles that may be broadcast (8 MB of 64 components each, at most); pieces that vectors are dealt to beyond that; vectors that a tile is multiplied with at once.
+TILE, TILES, SALTS, BLOCK = 1024, 16, 64, 1024
 #: Places that similarities are compared to: what differs less is a tie.
 DIGITS = 9
 
@@ -65,14 +65,23 @@ def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int, query_id: st
             for at in range(len(batch)):
                 own, ids = (batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in (0, 2))
                 v, goal = (np.asarray(batch.column(c)[at].values, np.float64).reshape(-1, longest) for c in (1, 3))
-                lengths = np.sqrt((goal * goal).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
-                sims = np.round((goal @ v.T) / (lengths + 1e-12), DIGITS)
-                if not itself:
-                    sims[ids[:, None] == own] = -np.inf
-                row, place = best_places(sims, own, k)
-                real = sims[row, place] > -np.inf
-                row, place = row[real], place[real]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[place]), pa.array(sims[row, place])], ["q", "id", "similarity"])
+                best = [part for first in range(0, len(own), BLOCK) for part in [some(own[first : first + BLOCK], v[first : first + BLOCK], ids, goal)] if len(part[0])]
+                if best:
+                    row, near, sim = map(np.concatenate, zip(*best, strict=True))
+                    order = np.lexsort((near, -sim, row))
+                    row, near, sim = row[order], near[order], sim[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[kept]]), pa.array(near[kept]), pa.array(sim[kept])], ["q", "id", "similarity"])
+
+    def some(own: np.ndarray, v: np.ndarray, ids: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of goal, id, similarity) of the k nearest of a few vectors: what is held for all pairs at once is TILE times BLOCK numbers."""
+        lengths = np.sqrt((goal * goal).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
+        sims = np.round((goal @ v.T) / (lengths + 1e-12), DIGITS)
+        if not itself:
+            sims[ids[:, None] == own] = -np.inf
+        row, place = best_places(sims, own, k)
+        real = sims[row, place] > -np.inf
+        return row[real], own[place[real]], sims[row, place][real]
 
     blocks = rows.mapInArrow(packed, "own array<long>, values array<double>").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     if tiles <= TILES:

@@ -90,6 +90,21 @@ def test_nearest_is_exact_in_any_tiling(spark, monkeypatch, tile, tiles):
     assert nearest_of_each(a.where("query_id = 20"), b.where("vec_id < 3"), 7).count() == 3
 
 
+def test_nearest_multiplies_few_vectors_at_once(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    real, rng = nearest.best_places, np.random.default_rng(4)
+
+    def narrow(sims, ids, k):
+        assert sims.shape[1] <= 7
+        return real(sims, ids, k)
+
+    monkeypatch.setattr(nearest, "best_places", narrow)
+    vectors = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(90)]
+    b = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1)
+    got = nearest_of_each(b.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), b, 9, itself=False).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in got) == plain_nearest([v for v in vectors if v[0] % 20 == 0], vectors, 9, False)
+
+
 def test_best_places_break_ties_by_id():
     row, column = best_places(np.array([[1.0, 1.0, 1.0, 0.5], [0.1, 0.2, 0.3, 0.3]]), np.array([9, 4, 7, 1]), 2)
     assert row.tolist() == [0, 0, 1, 1] and column.tolist() == [1, 2, 3, 2]
