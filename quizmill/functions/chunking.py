@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from .text import folded, let, sentences, strip, unnested
 
+#: Texts that a worker folds at a time.
+SLICE = 256
+
 
 def fixed(text: Column, size: int, overlap: int) -> Column:
     """Windows of size characters that start every size - overlap; a last one inside the one before it is kept."""
@@ -80,15 +83,19 @@ def semantic_lists(parts: list[str], size: int, fraction: float) -> list[str]:
 
 
 def semantic_arrow(docs: DataFrame, text_col: str, size: int, fraction: float) -> DataFrame:
-    """docs with chunks array<string>, for texts of book size: the fold over sentences runs in Python, one batch at a time."""
+    """docs with chunks array<string>, for texts of book size: the fold over sentences runs in Python, SLICE texts at a time, so that what a worker holds besides Spark's batch doesn't grow with the batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["chunks"] = [([] if whole is None or not whole.strip() else semantic_lists(list(p), size, fraction) or [whole]) for whole, p in zip(b[text_col], b["parts_"], strict=True)]
-            yield b.drop(columns="parts_")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                b = batch.slice(at, SLICE)
+                texts, parts = b.column(b.schema.get_field_index(text_col)), b.column(len(b.columns) - 1)
+                made = [([] if whole is None or not whole.strip() else semantic_lists(p, size, fraction) or [whole]) for whole, p in ((t.as_py(), p.as_py()) for t, p in zip(texts, parts, strict=True))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.list_(pa.string()))], [*docs_columns, "chunks"])
 
+    docs_columns = docs.columns
     ddl = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.withColumn("parts_", sentences(F.col(text_col))).mapInPandas(run, f"{ddl}, chunks array<string>")
+    return docs.withColumn("parts_", sentences(F.col(text_col))).mapInArrow(run, f"{ddl}, chunks array<string>")
 
 
 def chunks(text: Column, config: Config = DEFAULT, mode: str | None = None) -> Column:

@@ -73,6 +73,18 @@ def test_semantic_chunks(spark):
     assert all(r["c"] == r["chunks"] for r in both) and len(both) == 3
 
 
+def test_books_are_cut_a_few_at_a_time(spark, monkeypatch):
+    long = "x" * 300
+    given = [None, "One. Two. Three.", f"{long}. A b. {long}!", "  ", "no end", f"é. {long} ü? " * 40, *(". ".join("abcdefgh" * (k % 9) for k in range(n)) for n in range(60))]
+    docs = spark.createDataFrame(list(enumerate(given)), "k int, t string").coalesce(1)
+    monkeypatch.setattr(chunking, "SLICE", 8)
+    made = chunking.semantic_arrow(docs, "t", 100, 0.2)
+    both = docs.select("k", chunking.semantic(T(), 100, 0.2).alias("c")).join(made, "k").collect()
+    assert len(both) == len(given) and all(r["c"] == r["chunks"] and r["t"] == given[r["k"]] for r in both)
+    # whole batches as objects of Python were what grew
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("c,score", [("The correct answer is A.", 1.0), ("incorrect key", 0.0), ("key is wrong", 0.0), ("Wrong answer.", 0.7), ("", 0.5), (None, 0.5), ("Looks fine.", 0.7)])
 def test_critique_score(spark, c, score):
     assert values(spark, text.critique_score(F.col("c").cast("string")), c=c) == score
