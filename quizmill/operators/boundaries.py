@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, sentences, unnested
+from ..functions.text import SPACE, let, sentences, unnested
 from .scan import scanned
 
 #: Fixed values of the published statistic: chance of a period after an abbreviation, and the score from which a type is one.
 ABBREVIATED, ACCEPT = 0.99, 0.3
 #: A word: a letter, then letters, digits and periods.
 WORD = r"^[^\x00-\x40\x5B-\x60\x7B-\x7F][^\x00-\x2D\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$"
-#: So many abbreviations may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 300_000
+#: So many abbreviations may stand in an expression; so many may be broadcast; more are joined by shuffle.
+LISTED_ROWS, BROADCAST_ROWS = 10_000, 300_000
 
 
 def _type(word: Column) -> Column:
@@ -31,9 +31,10 @@ def abbreviation_score(n: Column, ended: Column, share: Column, kind: Column) ->
 
 
 def abbreviations(docs: DataFrame, text_col: str) -> DataFrame:
-    """(type, score) of the types that a corpus uses as abbreviations. Counts are of all texts; a type is one row a task before the shuffle."""
-    words = docs.select(F.explode(F.split(F.coalesce(text_col, F.lit("")), f"{SPACE}+")).alias("word")).where(F.col("word").rlike(WORD))
-    types = words.groupBy(_type(F.col("word")).alias("type")).agg(F.count("*").alias("n"), F.sum(F.endswith("word", F.lit(".")).cast("long")).alias("ended"))
+    """(type, score) of the types that a corpus uses as abbreviations. Counts are of all texts; a word is one row a task before the shuffle, and is looked at once."""
+    every = docs.select(F.explode(F.split(F.coalesce(text_col, F.lit("")), f"{SPACE}+")).alias("word"))
+    words = every.groupBy("word").agg(F.count("*").alias("n")).where(F.col("word").rlike(WORD))
+    types = words.groupBy(_type(F.col("word")).alias("type")).agg(F.sum("n").alias("n"), F.sum(F.when(F.endswith("word", F.lit(".")), F.col("n")).otherwise(0)).alias("ended"))
     total = types.agg((F.sum("ended") / F.sum("n")).alias("share"))  # one row
     scored = types.join(F.broadcast(total)).where((F.col("ended") > 0) & (F.col("share") < 1))
     return scored.select("type", abbreviation_score(F.col("n"), F.col("ended"), F.col("share"), F.col("type")).alias("score")).where(F.col("score") >= ACCEPT)
@@ -42,10 +43,13 @@ def abbreviations(docs: DataFrame, text_col: str) -> DataFrame:
 def learned_sentences(docs: DataFrame, key: str, text_col: str, known: DataFrame | None = None, piece: int = 4096) -> DataFrame:
     """(key, sent_ix, sentence): sentences as the pattern of functions.text cuts them, but not after an abbreviation; the parts that so come together are joined by a space.
 
-    known: abbreviations(type), those of docs themselves if not given. Numbers are scanned by pieces of a text, so a text of any length is spread over tasks. Keys must be unique; texts without
-    sentences and null keys have no rows.
+    known: abbreviations(type), those of docs themselves if not given. Up to LISTED_ROWS of them are told to the tasks in the plan, and each text is cut where it is, without a shuffle.
+    With more, numbers are scanned by pieces of a text. Keys must be unique; texts without sentences and null keys have no rows.
     """
     short = abbreviations(docs, text_col).select("type") if known is None else known.select("type").distinct()
+    listed = [r["type"] for r in short.limit(LISTED_ROWS + 1).collect()]
+    if len(listed) <= LISTED_ROWS:
+        return _cut_in_place(docs.where(F.col(key).isNotNull()), key, text_col, listed)
     few = short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     parts = unnested(docs, F.transform(sentences(F.col(text_col)), lambda s, i: F.struct(i.cast("long").alias("ix"), s.alias("part"))), "ix", F.col(key).alias("key_"))
     last = F.element_at(F.split("part", f"{SPACE}+"), -1)
@@ -56,3 +60,14 @@ def learned_sentences(docs: DataFrame, key: str, text_col: str, known: DataFrame
     counted = scanned(placed, ["key_"], "piece_", ["ix"], F.col("closes"), "closed")
     rows = counted.groupBy("key_", (F.col("closed") - F.col("closes")).alias("sent_ix")).agg(F.array_sort(F.collect_list(F.struct("ix", "part"))).alias("p"))
     return rows.select(F.col("key_").alias(key), "sent_ix", F.array_join(F.transform("p", lambda x: x["part"]), " ").alias("sentence"))
+
+
+def _cut_in_place(docs: DataFrame, key: str, text_col: str, short: list[str]) -> DataFrame:
+    """The same by an expression over each text: its parts in one string again, with a line end where a sentence ends. No part has a line end after a mark that ends it, or it would have been cut there."""
+    last = lambda s: F.regexp_extract(F.substring_index(s, " ", -1), f"[^{SPACE[1:-1]}]+$", 0)
+    opens = lambda w: F.endswith(w, F.lit(".")) & w.rlike(WORD) & _type(w).isin(short)
+    closed = F.transform(sentences(F.col(text_col)), lambda s: F.concat(s, F.when(let(last(s), opens), " ").otherwise("\n")))
+    # what stands after the last part belongs to no sentence
+    whole = let(F.array_join(closed, ""), lambda t: F.substring(t, F.lit(1), F.length(t) - 1))
+    rows = F.transform(F.filter(F.split(whole, r"(?<=[.!?])\n"), lambda s: s != ""), lambda s, i: F.struct(i.cast("long").alias("sent_ix"), s.alias("sentence")))
+    return unnested(docs, rows, "sent_ix", key)

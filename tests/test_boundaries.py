@@ -68,3 +68,18 @@ def test_sentences_go_on_after_abbreviations(spark, monkeypatch):
         assert got == sorted(expected)
     assert any(s.startswith("The firm of Dr. Brown met at ca. noon.") for _, _, s in got)
     assert learned_sentences(docs.limit(0), "id", "text").collect() == []
+
+
+def test_sentences_are_cut_in_place_or_by_shuffles(spark, monkeypatch):
+    given = [*TEXTS, "  At ca.\n noon.\nA line\nmore", "It ends ca.", "ca. ca.", "One!\tTwo?  Dr. \u2003Who", "\n", None]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(given)], "id long, text string, part string").repartition(4)
+    known = spark.createDataFrame([("ca",), ("dr",), ("unused",)], "type string")
+    found = []
+    for limit in (boundaries.LISTED_ROWS, 0):
+        monkeypatch.setattr(boundaries, "LISTED_ROWS", limit)
+        for few in (known, None):
+            made = learned_sentences(docs, "id", "text", few, piece=3)
+            found.append(sorted(map(tuple, made.collect())))
+            assert ("Exchange hashpartitioning" in made._jdf.queryExecution().executedPlan().toString()) is (limit == 0)
+    assert found[0] == found[2] and found[1] == found[3] and len(found[0]) != len(found[1])
+    assert (len(TEXTS), 0, "At ca. noon.") in found[0] and (len(TEXTS), 1, "A line\nmore") in found[0]
