@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
 from .text import SPACE
 
 #: Components of a vector, and places that similarities are rounded to.
 DIM, DIGITS = 64, 9
-#: So many words may be broadcast (some tens of MB); more are joined by shuffle.
+#: So many words may be broadcast (some tens of MB): those that most texts hold. What occurs of the others is joined by shuffle.
 BROADCAST_ROWS = 300_000
 
 
@@ -30,17 +31,32 @@ def _sign(word: Column) -> Column:
 
 
 def word_weights(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, at, weight): the component of each word of a corpus, and its signed weight log((1 + texts) / (1 + texts that hold it)) + 1."""
+    """(word, at, weight, band): the component of each word of a corpus, its signed weight log((1 + texts) / (1 + texts that hold it)) + 1, and the binary logarithm of how many hold it."""
     n = texts.count()
     holding = texts.select(F.explode(F.array_distinct(lower_words(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return holding.select("word", _place(F.col("word")).alias("at"), (_sign(F.col("word")) * (F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1)).alias("weight"))
+    return holding.select("word", _place(F.col("word")).alias("at"), (_sign(F.col("word")) * (F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1)).alias("weight"), F.floor(F.log2("n")).cast("int").alias("band"))
 
 
 def _components(texts: DataFrame, weights: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """(keep, at, value): sums before the shuffle, so at most DIM rows a text and task go through it."""
-    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """(keep, at, value): sums before the shuffle, so at most DIM rows a text and task go through it.
+
+    The words that most texts hold are broadcast, by bands from the most frequent on while they are BROADCAST_ROWS at most, so no frequent word is shuffled, however many words the corpus has.
+    """
     words = texts.select(*keep, F.explode(lower_words(F.col(text_col))).alias("word"))
-    return words.join(F.broadcast(weights) if few else weights, "word").groupBy(*keep, "at").agg(F.sum("weight").alias("value"))
+    bands = sorted(weights.groupBy("band").agg(F.count("*").alias("n")).collect(), reverse=True)  # a row for each power of two
+    least, n = 64, 0
+    for r in bands:
+        if n + r["n"] > BROADCAST_ROWS:
+            break
+        least, n = r["band"], n + r["n"]
+    told = weights.select("word", "at", "weight")
+    if n == sum(r["n"] for r in bands):
+        found = words.join(F.broadcast(told), "word")
+    else:
+        met = words.join(F.broadcast(told.where(weights["band"] >= least)), "word", "left")
+        rest = met.where("at is null").select(*keep, "word").join(told.where(weights["band"] < least), "word")
+        found = met.where("at is not null").unionByName(rest)
+    return found.groupBy(*keep, "at").agg(F.sum("weight").alias("value"))
 
 
 def weighted_vectors(texts: DataFrame, weights: DataFrame, key: list[str], text_col: str) -> DataFrame:
@@ -56,8 +72,11 @@ def similarities(texts: DataFrame, goals: DataFrame, key: list[str], of: str, te
 
     The corpus that weights words is the texts. A text without words, or whose goal has no word of the corpus, has similarity 0. One vector a goal, not one a text, is joined; each text's vector exists only as sums by component.
     """
-    weights = word_weights(texts, text_col)
+    weights = kept(word_weights(texts, text_col), "words")  # read for goals, for texts and for the count of bands
     aims = _components(goals, weights, goal_col, [of]).withColumnRenamed("value", "aim")
+    aims = kept(aims, "aims")
+    few = aims.count() <= BROADCAST_ROWS  # else a component of a goal that many texts share would be one key of a shuffle
+    aims = F.broadcast(aims) if few else aims
     lengths = aims.groupBy(of).agg(F.sqrt(F.sum(F.col("aim") * F.col("aim"))).alias("aim_length"))
     keep = list(dict.fromkeys([*key, of]))
     parts = _components(texts, weights, text_col, keep).join(aims, [of, "at"], "left")

@@ -10,7 +10,7 @@ from ..config import DEFAULT, FAULTY_CRITIQUES, TOPICS
 from ..functions import chunking, embedding, parsing, text, vectors
 from ..operators import lifecycle, retrieval, serving
 from ..providers import mock_mcqs, mock_tokens
-from ..sources.tables import table
+from ..sources.tables import kept, table
 from .generate import eligible, pages_of
 from .registry import query
 
@@ -411,7 +411,7 @@ TOKENS = lambda c: f"unnest(list_filter(string_split_regex(translate({c}, 'ABCDE
 )
 def embedded_retrieval(spark, sf):
     """M1, O2: each document's chunks by vectors of their words, against what its own request asks for"""
-    parts = _fixed(spark, sf).withColumn("goal_id", F.col("doc_id") % 3)
+    parts = kept(_fixed(spark, sf), "chunks").withColumn("goal_id", F.col("doc_id") % 3)  # read four times, cleaned and cut once
     asked = [text.retrieval_text(F.array(*map(F.lit, tags)).cast("array<string>")) for tags in GOAL_TAGS]
     goals = spark.range(1).select(F.posexplode(F.array(*asked)).alias("goal_id", "goal")).withColumn("goal_id", F.col("goal_id").cast("long"))
     near = embedding.similarities(parts, goals, ["doc_id", "chunk_ix"], "goal_id", "text", "goal")

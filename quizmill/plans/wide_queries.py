@@ -11,7 +11,7 @@ from ..config import DEFAULT
 from ..functions.ranking import ranked
 from ..functions.text import LINE_END, unnested
 from ..operators import admission, boundaries, lines, nearest, paging
-from ..sources.tables import table
+from ..sources.tables import shared, table
 from .registry import query
 from .serving_queries import latest_wins_log
 from .text_queries import COS, LINES_CTE, SENTENCES_CTE, WS
@@ -66,18 +66,6 @@ def merged_stream(spark, sf):
     return kept.read().select("user_id", "event_id", "status")
 
 
-def shared(spark) -> str:
-    """The folder that the driver and all executors share; a temporary one only in local mode without that setting."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/") + "/quizmill"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="quizmill-")
-
-
 @query(
     f"""WITH {LINES_CTE}, p AS (SELECT doc_id, i, k, sum(CASE WHEN k = 1 OR length(line) >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS paragraph,
       CASE WHEN k = 1 THEN line WHEN length(line) < 40 THEN ' ' || line ELSE chr(10) || chr(10) || line END AS piece FROM numbered_lines)

@@ -102,3 +102,16 @@ def test_weighted_vectors_and_similarities(spark, monkeypatch, limit):
     got = embedding.similarities(frame, goals, ["id"], "goal_id", "text", "goal").collect()
     assert len(got) == len(texts) and all(r["word"] == "z" for r in got)
     assert all(abs(r["similarity"] - float(unit(vector(held[r["id"]])) @ unit(aims[r["id"] % 2]))) < 1e-8 for r in got)
+
+
+def test_frequent_words_are_broadcast_whatever_the_vocabulary(spark, monkeypatch):
+    frame = spark.createDataFrame([(k, f"the law {'river' if k % 2 else 'hill'} w{k} v{k % 7}", k % 2) for k in range(60)], "id long, text string, goal_id int")
+    goals = spark.createDataFrame([(0, "law w4 hill"), (1, "river v3")], "goal_id int, goal string")
+    found = []
+    for limit in (embedding.BROADCAST_ROWS, 4, 0):
+        monkeypatch.setattr(embedding, "BROADCAST_ROWS", limit)
+        found.append({r["id"]: r["similarity"] for r in embedding.similarities(frame, goals, ["id"], "goal_id", "text", "goal").collect()})
+        weights = embedding.word_weights(frame, "text")
+        plan = embedding._components(frame, weights, "text", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=broadcast") == (1 if limit > 4 else 2 if limit else plan.count("strategy=broadcast"))
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) > 5
